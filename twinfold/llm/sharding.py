@@ -21,27 +21,21 @@ SLOT_ROWS = 50_000
 
 
 def uniform(key: Column, shard: int, seed: str = "shard") -> Column:
-    """52 bits of md5(seed:shard:key), as a number above 0 and below 1."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:{shard}:"), F.coalesce(key.cast("string"), F.lit(""))))
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    """52 bits of the XXH64 of "seed:shard:key", as a number above 0 and below 1."""
+    digest = F.xxhash64(F.concat(F.lit(f"{seed}:{shard}:"), F.coalesce(key.cast("string"), F.lit(""))))
+    return (F.shiftrightunsigned(digest, 12).cast("double") + 0.5) / float(1 << 52)
 
 
-def rendezvous(key: Column, weights: list[float], seed: str = "shard") -> Column:
-    """The shard (from 0) with the least score."""
+def assign(df: DataFrame, key: str, weights: list[float], seed: str = "shard") -> DataFrame:
+    """df with `shard` (from 0) and `grown_shard`: the shard with one more of mean weight."""
     if not weights or any(w <= 0 for w in weights):
         raise ValueError("weights must be positive, and at least one")
-    scores = [F.struct((-F.log(uniform(key, i, seed)) / float(w)).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights)]
-    return (F.least(*scores) if len(scores) > 1 else scores[0])["i"]
-
-
-def assign(df: DataFrame, key: str, weights: list[float], seed: str = "shard") -> DataFrame:
-    """df with `shard` and `grown_shard`: the shard with one more of mean weight."""
-    best = rendezvous(df[key], weights, seed)
-    mean, n = sum(weights) / len(weights), len(weights)
-    low = F.least(*[-F.log(uniform(df[key], i, seed)) / float(w) for i, w in enumerate(weights)]) if n > 1 else -F.log(uniform(df[key], 0, seed)) / float(weights[0])
-    new = -F.log(uniform(df[key], n, seed)) / mean
-    out = df.withColumn("shard", best.cast("int"))
-    return out.withColumn("grown_shard", F.when(new < low, F.lit(n)).otherwise(F.col("shard")).cast("int"))
+    n = len(weights)
+    score = lambda i, w: -F.log(uniform(df[key], i, seed)) / float(w)
+    each = [F.struct(score(i, w).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights)]
+    out = df.withColumn("_best", F.least(*each) if n > 1 else each[0]).withColumn("shard", F.col("_best.i").cast("int"))
+    new = score(n, sum(weights) / n)
+    return out.withColumn("grown_shard", F.when(new < F.col("_best.s"), F.lit(n)).otherwise(F.col("shard")).cast("int")).drop("_best")
 
 
 def number(df: DataFrame, group: str, order: list[str], rows: int) -> DataFrame:
@@ -76,7 +70,3 @@ def op2_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(load(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
-
-
-def _crc32_sql() -> None:
-    """DuckDB has no crc32; the query is tested against zlib instead."""
