@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import language, media, sharding
 
 
 def queries() -> dict:
     return {
         "op2_rendezvous_shards": sharding.op2_rendezvous_shards,
+        "op5_language_id": language.op5_language_id,
+        "op7_png_media": media.op7_png_media,
     }
 
 
