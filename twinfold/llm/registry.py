@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, media, sharding
+from . import language, media, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op2_rendezvous_shards": sharding.op2_rendezvous_shards,
+        "op3_attention_quality": quality.op3_attention_quality,
         "op5_language_id": language.op5_language_id,
         "op7_png_media": media.op7_png_media,
     }
