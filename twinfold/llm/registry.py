@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, media, quality, sharding
+from . import language, media, quality, sharding, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_attention_quality": quality.op3_attention_quality,
         "op5_language_id": language.op5_language_id,
         "op7_png_media": media.op7_png_media,
+        "op9_simhash_components": simhash.op9_simhash_components,
     }
 
 
