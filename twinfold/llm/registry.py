@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, media, quality, sharding, simhash
+from . import decontaminate, language, media, quality, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op2_rendezvous_shards": sharding.op2_rendezvous_shards,
         "op3_attention_quality": quality.op3_attention_quality,
+        "op4_winnow_hits": decontaminate.op4_winnow_hits,
         "op5_language_id": language.op5_language_id,
         "op7_png_media": media.op7_png_media,
         "op9_simhash_components": simhash.op9_simhash_components,
