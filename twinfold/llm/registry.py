@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, quality, sharding, simhash
+from . import decontaminate, language, media, quality, sharding, simhash, substring
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_attention_quality": quality.op3_attention_quality,
         "op4_winnow_hits": decontaminate.op4_winnow_hits,
         "op5_language_id": language.op5_language_id,
+        "op6_cover_dedup": substring.op6_cover_dedup,
         "op7_png_media": media.op7_png_media,
         "op9_simhash_components": simhash.op9_simhash_components,
     }
