@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, quality, sharding, simhash, substring
+from . import decontaminate, language, media, quality, sharding, simhash, substring, suffixes
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffixes.op1_suffix_dedup,
         "op2_rendezvous_shards": sharding.op2_rendezvous_shards,
         "op3_attention_quality": quality.op3_attention_quality,
         "op4_winnow_hits": decontaminate.op4_winnow_hits,
