@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, quality, sharding, simhash, substring, suffixes
+from . import decontaminate, language, media, packing, quality, sharding, simhash, substring, suffixes, tokenfiles
 
 
 def queries() -> dict:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "op5_language_id": language.op5_language_id,
         "op6_cover_dedup": substring.op6_cover_dedup,
         "op7_png_media": media.op7_png_media,
+        "op8_arrow_token_file": tokenfiles.op8_arrow_token_file,
+        "op10_differencing_packs": packing.op10_differencing_packs,
         "op9_simhash_components": simhash.op9_simhash_components,
     }
 
