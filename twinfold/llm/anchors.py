@@ -21,10 +21,15 @@ ANCHOR_SHAPE = "k long, m boolean, did long, pos int"
 _ANCHOR = pa.schema([("k", pa.int64()), ("m", pa.bool_()), ("did", pa.int64()), ("pos", pa.int32())])
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(did, text): the id with null as the largest value, and the text, null as empty.
-    All uses select just these columns, so that Spark deals the texts out once."""
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+def keyed_texts(docs: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
+    """(did, text, rest): the id with null as the largest value, the text, null as empty, and
+    a struct of other columns. All uses select just these, so that Spark deals the
+    texts out once and reads them again."""
+    return docs.select(
+        F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("did"),
+        F.coalesce(docs["text"], F.lit("")).alias("text"),
+        F.struct(docs["doc_id"], *[docs[c] for c in rest]).alias("rest"),
+    )
 
 
 def copies(base: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def with_copies(base: DataFrame, twins: DataFrame) -> DataFrame:
     a = F.xxhash64("text")
     joined = base.join(twins.hint("shuffle_hash"), "did", "left")
     has = lambda c: F.coalesce(F.array_contains(c, a), F.lit(False)).alias(c)
-    return joined.select("did", "text", has("multi"), has("copy"))
+    return joined.select("did", "text", "rest", has("multi"), has("copy"))
 
 
 def combine(h: np.ndarray, did: np.ndarray, pos: np.ndarray, by_doc: bool):

@@ -176,19 +176,36 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("p1", "t1", "p2", "t2").applyInPandas(compare, "a long, b long")
 
 
+def roots_of(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root) for each distinct fingerprint of marked: root names its component."""
+    classes = cut(marked.select("fp").distinct())
+    found = components(links(classes, radius)).withColumnRenamed("node", "fp")
+    return classes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id for each row of docs."""
     marked = cut(fingerprints(docs))
-    own = marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("low"))
-    classes = cut(own)
-    roots = components(links(classes, radius))
-    known = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    low = marked.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("low"))
+    known = roots_of(marked, radius).join(low, "fp")
     best = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = known.join(best, "root").select("fp", "component_id")
-    named = named.withColumn("component_id", F.when(F.col("component_id") < NULL_ID, F.col("component_id")))
+    named = known.join(best, "root").select("fp", F.when(F.col("component_id") < NULL_ID, F.col("component_id")).alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs that stay: of each component the one of smallest doc_id. Texts are
+    dealt out once, to meet the ids that stay."""
+    base = docs.withColumn("_did", F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))).withColumn("_a", F.xxhash64(docs["text"]))
+    marked = cut(fingerprints(base, ("_did", "_a")))
+    best = marked.join(roots_of(marked, radius), "fp").groupBy("root").agg(F.min(F.struct("_did", "_a")).alias("k"))
+    rows = marked.groupBy("_did", "_a").agg(F.count(F.lit(1)).alias("_n"))
+    stay = best.select("k._did", "k._a").join(rows, ["_did", "_a"])
+    kept = base.join(stay.hint("shuffle_hash"), ["_did", "_a"])
+    once = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(["_did", "_a"]))
+    return once.select(*docs.columns)
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(load(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

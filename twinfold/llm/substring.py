@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .anchors import ANCHOR_SHAPE, Anchors, copies, covered, keyed_texts, list_slices, shared_places, with_copies
-from .common import BLANK, NULL_ID, load, mix, pick, slices, span_hashes, text_buffers, word_spans
+from .common import BLANK, load, mix, pick, slices, span_hashes, text_buffers, word_spans
 
 WINDOW, PERIOD = 50, 31
 GRAM = WINDOW - PERIOD + 1
@@ -134,9 +134,6 @@ def _window_batches(batches):
         yield from _combine_windows(held)
 
 
-_RESULT = "did long, n_words long, n_removed long, {}"
-
-
 def _result_batches(make):
     """The last pass over the texts; make gives the last column from the kept words."""
 
@@ -167,32 +164,34 @@ def _result_batches(make):
                     n_removed.append(int(gone.sum()))
                     kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
                     out.append(make(text, kept, n_removed[-1]))
-            yield pa.RecordBatch.from_arrays([pick(b.column("did")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["did", "n_words", "n_removed", "out"])
+            yield pa.RecordBatch.from_arrays([pick(b.column("rest")), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], ["rest", "n_words", "n_removed", "out"])
 
     return run
 
 
-def _dedup(docs: DataFrame, make, out: str) -> DataFrame:
-    base = keyed_texts(docs)
+def _dedup(docs: DataFrame, make, out: str, rest: tuple[str, ...] = ()) -> DataFrame:
+    base = keyed_texts(docs, rest)
     texts = with_copies(base, copies(base))
-    anchors = texts.where("not copy").select("did", "text").mapInArrow(_anchor_batches, ANCHOR_SHAPE)
+    own = ["did", "text", "rest"]
+    anchors = texts.where("not copy").select(*own).mapInArrow(_anchor_batches, ANCHOR_SHAPE)
     marks = shared_places(anchors, by_doc=True)
-    joined = texts.join(marks.hint("shuffle_hash"), "did").where("not copy").select("did", "text", "marks")
+    joined = texts.join(marks.hint("shuffle_hash"), "did").where("not copy").select(*own, "marks")
     windows = joined.mapInArrow(_window_batches, _WINDOW_SHAPE)
     low = F.min("did").over(Window.partitionBy("m", "k1", "k2"))
     gone = windows.withColumn("low", low).where("m or did > low")
     gone = gone.groupBy("did").agg(F.collect_list("pos").alias("pos"), F.collect_list(F.expr("if(m, k2, k1)")).alias("h"))
-    last = texts.join(gone.hint("shuffle_hash"), "did", "left").select("did", "text", "copy", "pos", "h")
-    done = last.mapInArrow(_result_batches(make), _RESULT.format("out string")).withColumnRenamed("out", out)
-    return done.withColumn("doc_id", F.when(F.col("did") < NULL_ID, F.col("did"))).drop("did")
+    last = texts.join(gone.hint("shuffle_hash"), "did", "left").select(*own, "copy", "pos", "h")
+    shape = f"rest {base.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, out string"
+    done = last.mapInArrow(_result_batches(make), shape)
+    return done.select("rest.*", "n_words", "n_removed", F.col("out").alias(out))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and `kept`: the remaining words joined by spaces where
-    words went, else the text as it was."""
-    return _dedup(docs, lambda text, kept, gone: (b" ".join(kept) if gone else text).decode(), "kept").select("doc_id", "n_words", "n_removed", "kept")
+def remove_repeats(docs: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in rest, n_words, n_removed and `kept`: the remaining words
+    joined by spaces where words went, else the text as it was."""
+    return _dedup(docs, lambda text, kept, gone: (b" ".join(kept) if gone else text).decode(), "kept", rest)
 
 
 def op6_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda text, kept, gone: hashlib.sha256(b" ".join(kept)).hexdigest()
-    return _dedup(load(spark, sf_dir, "documents"), sha, "kept_sha256").select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return _dedup(load(spark, sf_dir, "documents"), sha, "kept_sha256")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import ANCHOR_SHAPE, Anchors, copies, covered, keyed_texts, list_slices, shared_places, with_copies
-from .common import NULL_ID, gram_hashes, load, mix, pick, slices, text_buffers
+from .common import gram_hashes, load, mix, pick, slices, text_buffers
 
 LENGTH, GRAM = 200, 80
 SPREAD = LENGTH - GRAM + 1
@@ -273,32 +273,33 @@ def _result_batches(make):
                 removed.append(int(gone.sum()))
                 runs.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
                 out.append(make(own[~gone].tobytes()))
-            yield pa.RecordBatch.from_arrays([pick(b.column("did")), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(out)], ["did", "n_bytes", "n_removed", "n_spans", "out"])
+            yield pa.RecordBatch.from_arrays([pick(b.column("rest")), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(out)], ["rest", "n_bytes", "n_removed", "n_spans", "out"])
 
     return run
 
 
-def _dedup(docs: DataFrame, make, kind: str, out: str) -> DataFrame:
-    base = keyed_texts(docs)
+def _dedup(docs: DataFrame, make, kind: str, out: str, rest: tuple[str, ...] = ()) -> DataFrame:
+    base = keyed_texts(docs, rest)
     texts = with_copies(base, copies(base))
-    anchors = texts.where("not copy").select("did", "text").mapInArrow(_anchor_batches, ANCHOR_SHAPE)
+    own = ["did", "text", "rest"]
+    anchors = texts.where("not copy").select(*own).mapInArrow(_anchor_batches, ANCHOR_SHAPE)
     marks = shared_places(anchors, by_doc=False)
-    joined = texts.join(marks.hint("shuffle_hash"), "did").where("not copy").select("did", "text", "marks")
+    joined = texts.join(marks.hint("shuffle_hash"), "did").where("not copy").select(*own, "marks")
     stretches = joined.mapInArrow(_stretch_batches, _STRETCH_SHAPE)
     met = stretches.repartition("m", "k").sortWithinPartitions("m", "k").mapInArrow(_meeting_batches, _STRETCH_SHAPE)
     spans = met.groupBy("did").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    last = texts.join(spans.hint("shuffle_hash"), "did", "left").select("did", "text", "multi", "lo", "hi")
-    done = last.mapInArrow(_result_batches(make), f"did long, n_bytes long, n_removed long, n_spans long, out {kind}")
-    return done.withColumnRenamed("out", out).withColumn("doc_id", F.when(F.col("did") < NULL_ID, F.col("did"))).drop("did")
+    last = texts.join(spans.hint("shuffle_hash"), "did", "left").select(*own, "multi", "lo", "hi")
+    shape = f"rest {base.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, out {kind}"
+    done = last.mapInArrow(_result_batches(make), shape)
+    return done.select("rest.*", "n_bytes", "n_removed", "n_spans", F.col("out").alias(out))
 
 
-def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and `kept`: the remaining bytes (binary: a
-    removed run may end within a character)."""
-    return _dedup(docs, lambda kept: kept, "binary", "kept").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+def remove_repeated_bytes(docs: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in rest, n_bytes, n_removed, n_spans and `kept`: the
+    remaining bytes (binary: a removed run may end within a character)."""
+    return _dedup(docs, lambda kept: kept, "binary", "kept", rest)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = lambda kept: hashlib.sha256(kept).hexdigest()
-    got = _dedup(load(spark, sf_dir, "documents"), sha, "string", "kept_sha256")
-    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return _dedup(load(spark, sf_dir, "documents"), sha, "string", "kept_sha256")
