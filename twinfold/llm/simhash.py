@@ -11,8 +11,8 @@ Comparison: distinct fingerprints are dealt into tiles of one population count (
 frequent count has several tiles, by hash). Tiles whose counts differ by more than the
 radius are never paired; within a pair, sub-tiles sorted by the population counts of
 their bytes are skipped by the same bound. The rest is compared with exclusive-or and
-bit counts. A pair of tiles gives a spanning forest of its links, not all links, so
-a large group of near copies gives few rows.
+bit counts. A pair of tiles gives stars of its components, not all links, so a large
+group of near copies gives few rows.
 
 Null text has no words. A null doc_id counts as the largest; equal rows fall together.
 """
@@ -20,7 +20,6 @@ Null text has no words. A null doc_id counts as the largest; equal rows fall tog
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +30,7 @@ from .common import NULL_ID, components, cut, load, pick, plain
 RADIUS = 3
 SEED = 42
 #: Fingerprints of a tile, about, and of a sub-tile.
-TILE, SUB = 16_384, 256
+TILE, SUB = 131_072, 256
 
 
 def shingle_hashes(text: str) -> list[int]:
@@ -104,7 +103,8 @@ def _byte_counts(fp: np.ndarray) -> np.ndarray:
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two tiles (or within one), as pairs of values."""
+    """Stars with the components that the links between two tiles (or within one) make:
+    (value, smallest value of its component), signed."""
     nodes = a if same else np.concatenate([a, b])
     label = np.arange(len(nodes))
 
@@ -117,7 +117,6 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[n
 
     xa, ia, ca, la, ha = ordered(a, 0)
     xb, ib, cb, lb, hb = (xa, ia, ca, la, ha) if same else ordered(b, len(a))
-    left, right = [], []
     for k, s in enumerate(ca):
         gap = np.maximum(0, np.maximum(la[k] - hb, lb - ha[k])).sum(axis=1)
         for j in np.flatnonzero(gap <= radius):
@@ -126,16 +125,16 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[n
             d = np.bitwise_count(xa[s : s + SUB, None] ^ xb[None, cb[j] : cb[j] + SUB])
             near = d <= radius
             for u in np.flatnonzero(near.any(axis=1)):
-                one = ia[s + u]
-                others = ib[cb[j] + np.flatnonzero(near[u])]
-                groups, first = np.unique(label[others], return_index=True)
-                new = groups != label[one]
-                if new.any():
-                    left += [one] * int(new.sum())
-                    right += others[first[new]].tolist()
-                    joined = np.append(groups[new], label[one])
-                    label[np.isin(label, joined)] = joined.min()
-    return nodes[np.array(left, int)], nodes[np.array(right, int)]
+                found = np.unique(label[np.append(ib[cb[j] + np.flatnonzero(near[u])], ia[s + u])])
+                if len(found) > 1:
+                    label[np.isin(label, found)] = found[0]
+    # the smallest value of each group stands for it
+    value = nodes.view(np.int64)
+    o = np.lexsort((value, label))
+    first = np.ones(len(o), bool)
+    first[1:] = label[o][1:] != label[o][:-1]
+    low = value[o][np.flatnonzero(first)][np.cumsum(first) - 1]
+    return value[o][~first], low[~first]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -162,18 +161,21 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     if sizes:
         dealt = dealt.where(F.col("p1").isin(list(sizes)) & F.col("p2").isin(list(sizes)))
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        fp, side = pdf["fp"].to_numpy().view(np.uint64), pdf["left"].to_numpy()
-        if first["p1"] == first["p2"] and first["t1"] == first["t2"]:
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        p1, t1, p2, t2 = (t.column(c)[0].as_py() for c in ("p1", "t1", "p2", "t2"))
+        fp = t.column("fp").to_numpy().view(np.uint64)
+        side = t.column("left").to_numpy()
+        if (p1, t1) == (p2, t2):
             x, y = tile_links(fp, fp, radius, True)
         elif side.all() or not side.any():
-            x = y = np.zeros(0, np.uint64)
+            x = y = np.zeros(0, np.int64)
         else:
             x, y = tile_links(fp[side], fp[~side], radius, False)
-        return pd.DataFrame({"a": x.view(np.int64), "b": y.view(np.int64)})
+        return pa.table([x, y], schema=shape)
 
-    return dealt.groupBy("p1", "t1", "p2", "t2").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("p1", "t1", "p2", "t2").applyInArrow(compare, "a long, b long")
 
 
 def roots_of(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
