@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, load, pick, plain, running_totals
-from .tokens import encoder, vocabulary
+from .tokens import encoded, encoder, vocabulary
 
 CAPACITY, END, BATCH = 2048, 1, 1024
 #: Remainders of more ids than this may give up a sliver.
@@ -91,6 +91,8 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.nd
     if sizes.max() > capacity or sizes.min() < 1:
         raise ValueError("a piece holds 1 to capacity ids")
     k = max(1, -(-int(sizes.sum()) // capacity))
+    if len(sizes) >= BATCH // 2:
+        k += 1  # the first try hardly ever fits a whole batch
     while True:
         window = differencing(sizes, k)
         fill = np.bincount(window, weights=sizes, minlength=k)
@@ -128,9 +130,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def run(batches):
-        ids_of = encoder(tokenizer).ids
         for b in batches:
-            text, held, row = b.column("text").to_pylist(), [], []
+            held, row = [], []
 
             def batch():
                 own = pick(b.column("doc_id")).take(pa.array(row, pa.int64()))
@@ -138,8 +139,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                 more = [pa.array(c[4], pa.list_(pa.int64()))] if with_ids else []
                 return pa.RecordBatch.from_arrays([own, *[pa.array(x, pa.int64()) for x in c[:4]], *more], names)
 
-            for i, t in enumerate(text):
-                ids = np.append(ids_of(t or ""), np.uint32(end)).astype("<u4")
+            for i, own_ids in enumerate(encoded(tokenizer, b.column("text"))):
+                ids = np.append(own_ids, np.uint32(end)).astype("<u4", copy=False)
                 for s, n in cuts(ids, capacity):
                     part = ids[s : s + n]
                     held.append((s, n, zlib.crc32(part.tobytes()), len(ids), *[part.tolist()] * with_ids))
@@ -149,6 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                     held, row = [], []
             if held:
                 yield batch()
+        encoder(tokenizer).trim()
 
     shape = f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
     return frame.mapInArrow(run, shape + ", ids array<long>" * with_ids)

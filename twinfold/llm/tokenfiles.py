@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .anchors import keyed_texts
 from .common import NULL_ID, cut, load, pick, running_totals, shared_dir
-from .tokens import encoder, vocabulary
+from .tokens import encoded, encoder, vocabulary
 
 LENGTH, ROWS, END = 2048, 256, 1
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -150,8 +150,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, parts: int | None
             if not b.num_rows:
                 continue
             out = out or PartWriter(folder, part, np.uint16 if own.size <= 1 << 16 else np.uint32)
-            for d, t in zip(b.column("did").to_pylist(), b.column("text")):
-                out.add(d, own.ids(t.as_py()))
+            for d, ids in zip(b.column("did").to_pylist(), encoded(tokenizer, b.column("text"))):
+                out.add(d, ids)
+        own.trim()
         if out:
             n, docs_in = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([docs_in])], ["part", "n_ids", "n_docs"])

@@ -3,8 +3,10 @@
 Both vocabularies cut a text into pre-tokens that never run from a character that is
 not white space into white space, so the ids of a text are the ids of its pieces (white
 space, then anything else) one after another. Pieces repeat; each is encoded by
-the tokenizers library once and looked up after that. The held pieces are bounded (two
-generations: of a full cache only what is met again stays), which changes no id.
+the tokenizers library once and looked up after that, by the 64-bit hashes of all words of a
+slice at once. What is held is bounded (two generations: of a full table only what is met
+again stays), which changes no id. Texts with unusual white space or special
+tokens take a slower way with the same result.
 """
 
 from __future__ import annotations
@@ -15,17 +17,46 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import BLANK, slices, span_hashes, text_buffers, word_spans
+
 #: Pieces that a worker holds at most (about 0.25 KB each), and length of the longest that it holds.
-HELD, LONGEST = 1_000_000, 64
+HELD, LONGEST = 100_000, 64
 
 #: White space in the sense of the tokenizers' patterns.
-_W = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+_WHITE = frozenset(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+_W = "".join(sorted(_WHITE))
 _PIECE = re.compile(rf"[{_W}]*[^{_W}]+|[{_W}]+")
+#: Characters that str.split() takes for white space and the tokenizers do not.
+_SPLIT_ONLY = re.compile("[\x1c-\x1f]")
+#: Marks a word at the beginning of a line; no text has it.
+HEAD = "\ud800"
+
+
+class _Held(dict):
+    """Pieces to ids as bytes. A piece that is not held comes from the older generation, or
+    is noted as pending."""
+
+    def __init__(self):
+        self.older: dict[str, bytes] = {}
+        self.pending: dict[str, None] = {}
+
+    def __missing__(self, piece: str):
+        got = self.older.get(piece)
+        if got is None:
+            self.pending[piece] = None
+        else:
+            self[piece] = got
+        return got
+
+    def turn(self) -> None:
+        """What is held becomes the older generation."""
+        self.older = dict(self)
+        self.clear()
 
 
 class Encoder:
-    """ids(text) for a tokenizer file; equal to encode(text, add_special_tokens=False).ids,
-    with the strings of special tokens taken as the file's own rules take them."""
+    """Ids for a tokenizer file; equal to encode(text, add_special_tokens=False).ids, with
+    the strings of special tokens taken as the file's own rules take them."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -33,37 +64,280 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.held: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        #: pieces that hold a special token's string may not be cut off from their neighbours safely
+        #: the same ids without offsets, where the library has it
+        self.fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.held = _Held()
+        #: a text that holds a special token's string is encoded whole
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        #: whether white space leaves no trace, so that pieces are plain words
+        self.words_only = not plain(" \n\t ") and plain(" a\n\tb ") == plain("a") + plain("b")
+        #: what missing pieces are joined by, and its one id
+        self.joint = " | " if self.words_only else "\n"
+        self.mark = plain(self.joint)
+        self.mark_bytes = np.array(plain("\n"), np.uint32).tobytes()
+        self.table = WordTable()
+
+    def pieces(self, text: str) -> list[str]:
+        """Keys of the pieces of a text. Where white space is dropped: the words. Else a key
+        without white space is a word behind one space, HEAD and a word is that word alone,
+        and anything else is the piece as it stands."""
+        words = text.split()
+        if self.words_only:
+            return _PIECE.findall(text) if _SPLIT_ONLY.search(text) else words
+        n = len(words) - 1
+        if n >= 0 and n == text.count(" ") + text.count("\n") == len(text) - sum(map(len, words)):  # one space or newline in each gap
+            out: list[str] = []
+            for line in text.split("\n"):
+                own = line.split(" ")
+                own[0] = HEAD + own[0]
+                out += own
+                out.append("\n")
+            out.pop()
+            return out
+        own = _PIECE.findall(text)
+        if own and own[0][0] not in _WHITE:
+            own[0] = HEAD + own[0]
+        return own
+
+    def actual(self, key: str) -> str:
+        if self.words_only or key[0] in _WHITE:
+            return key
+        return key[1:] if key[0] == HEAD else " " + key
 
     def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = _PIECE.findall(text)
-        held = self.held
-        try:
-            got = [held[p] for p in pieces]
-        except KeyError:
-            if len(held) > HELD // 2:
-                self.older, self.held = held, {}
-                held = self.held
-            missing = [p for p in dict.fromkeys(pieces) if p not in held]
-            fresh = {p: self.older[p] for p in missing if p in self.older}
-            missing = [p for p in missing if p not in fresh]
-            for i in range(0, len(missing), 4096):
-                fresh |= self.encode_pieces(missing[i : i + 4096])
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; pieces that are new are encoded together."""
+        held, out = self.held, [None] * len(texts)
+        if len(held) > HELD // 2:
+            held.turn()
+        waiting, lookup = [], held.__getitem__
+        for i, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                continue
+            own = self.pieces(text)
+            got = list(map(lookup, own))
+            if held.pending and None in got:
+                waiting.append((i, own, got))
+            else:
+                out[i] = np.frombuffer(b"".join(got), np.uint32)
+        if waiting:
+            fresh = self.encode_pieces(list(held.pending))
+            held.pending.clear()
             held.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST)
-            got = [held[p] if p in held else fresh[p] for p in pieces]
-        return np.frombuffer(b"".join(got), np.uint32)
-
-    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Each piece encoded on its own, in one call of the library."""
-        e = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(e.ids, np.uint32).tobytes()
-        ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), side="right") * 4
-        return {p: ids[a:b] for p, a, b in zip(pieces, [0, *ends[:-1].tolist()], ends.tolist())}
+            for i, own, got in waiting:
+                for k, x in enumerate(got):
+                    if x is None:
+                        got[k] = fresh[own[k]]
+                out[i] = np.frombuffer(b"".join(got), np.uint32)
+        return out
+
+    def encode_pieces(self, keys: list[str]) -> dict[str, bytes]:
+        """Each piece encoded on its own. Simple ones are joined by a sign that none of them
+        has, which is an id of its own; the library is called once for many."""
+        pieces = keys if self.words_only else list(map(self.actual, keys))
+        if len(self.mark) != 1:
+            simple = [False] * len(keys)
+        elif self.words_only:
+            sign = self.joint.strip()
+            simple = [sign not in p and p.isprintable() for p in pieces]
+        else:
+            simple = [k[0] not in _WHITE and p[1:].isprintable() and " " not in p[1:] and p.strip() != "" for k, p in zip(keys, pieces)]
+        out: dict[str, bytes] = {}
+        rest = [i for i, x in enumerate(simple) if not x]
+        some = [i for i, x in enumerate(simple) if x] if rest else range(len(keys))
+        for i in range(0, len(some), 1024):
+            part = some[i : i + 1024]
+            ids = np.array(self.fast([self.joint.join([pieces[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(ids == self.mark[0])
+            if len(cut) != len(part) - 1:
+                rest += part
+                continue
+            raw = ids.tobytes()
+            starts, ends = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(raw)]
+            out |= {keys[k]: raw[a:b] for k, a, b in zip(part, starts, ends)}
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            e = self.tokenizer.encode([pieces[k] for k in part], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(e.ids, np.uint32).tobytes()
+            ends = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part)), side="right") * 4).tolist()
+            out |= {keys[k]: raw[a:b] for k, a, b in zip(part, [0, *ends[:-1]], ends)}
+        return out
+
+    def trim(self) -> None:
+        """Between tasks only the newer generation is held."""
+        self.held.older = {}
+        self.table.trim()
+
+
+class WordTable:
+    """Ids of words by 64-bit hash, open addressing in numpy arrays; bounded in two
+    generations. Words of a whole Arrow slice are looked up at once."""
+
+    BITS = 21
+    #: Words of one generation (about 40 bytes each).
+    MOST = 400_000
+
+    def __init__(self):
+        self.older: WordTable | None = None
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.at = np.zeros(1 << self.BITS, np.int32)
+        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.flat, self.n, self.used = np.zeros(1 << 18, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, -1 where there is none."""
+        mask = np.int64((1 << self.BITS) - 1)
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == h, self.at[slot], -1)
+        left = np.flatnonzero((key != h) & (key != 0))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & mask
+            key = self.keys[slot]
+            hit = key == h[left]
+            out[left[hit]] = self.at[slot[hit]]
+            more = ~hit & (key != 0)
+            left, slot = left[more], slot[more]
+        return out
+
+    def put(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New, distinct hashes with their ids one after another."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(h) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        entry = np.arange(self.n, self.n + len(h))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[entry] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[entry] = sizes
+        self.used, self.n = self.used + len(ids), self.n + len(h)
+        mask = np.int64((1 << self.BITS) - 1)
+        slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+        left = np.arange(len(h))
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)  # one newcomer for each free slot
+            won = free[first]
+            self.keys[slot[won]], self.at[slot[won]] = h[left[won]], entry[left[won]]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, slot = left[rest], (slot[rest] + 1) & mask
+
+    def ids(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries one after another, and how many each has."""
+        size = self.sizes[entry].astype(np.int64)
+        end = np.cumsum(size)
+        shift = np.repeat(self.starts[entry] - (end - size), size)
+        return self.flat[shift + np.arange(len(shift))], size
+
+    def resolve(self, h: np.ndarray, encode) -> np.ndarray:
+        """The entry of each hash; encode gives ids and sizes of the words at some places."""
+        if self.n > self.MOST:
+            old = WordTable.__new__(WordTable)
+            old.__dict__.update({k: v for k, v in self.__dict__.items() if k != "older"}, older=None)
+            self.older = old
+            self.reset()
+        entry = self.find(h)
+        gone = np.flatnonzero(entry < 0)
+        if len(gone):
+            new, first = np.unique(h[gone], return_index=True)
+            place = gone[first]
+            if self.older is not None:
+                held = self.older.find(new)
+                known = held >= 0
+                self.put(new[known], *self.older.ids(held[known]))
+                new, place = new[~known], place[~known]
+            if len(new):
+                self.put(new, *encode(place))
+            entry[gone] = self.find(h[gone])
+        return entry
+
+    def trim(self) -> None:
+        self.older = None
+
+
+#: Two and three bytes of white space above ASCII: rows with any are left to the slower way.
+_PAIRS = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A,)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)))
+
+
+def _odd_rows(encoder: Encoder, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows that words cannot be cut out of byte by byte: special tokens and, where white space
+    leaves ids, any gap but one space or newline between two words."""
+    n = len(at) - 1
+    odd = np.zeros(n, bool)
+    row = lambda places: np.searchsorted(at, places, side="right") - 1
+    text = raw.tobytes()
+    for s in encoder.special:
+        if s.encode() in text:
+            for i in range(n):
+                odd[i] |= s.encode() in text[at[i] : at[i + 1]]
+    if encoder.words_only:
+        return odd
+    blank = BLANK[raw]
+    strange = blank & (raw != 32) & (raw != 10)
+    double = blank[1:] & blank[:-1]
+    odd[row(np.flatnonzero(strange))] = True
+    odd[row(np.flatnonzero(double))] = True
+    full = np.flatnonzero(np.diff(at) > 0)
+    odd[full] |= blank[at[full]] | blank[at[full + 1] - 1]
+    for lead, second in _PAIRS:
+        p = np.flatnonzero(raw[:-1] == lead)
+        p = p[np.isin(raw[p + 1], second)] if len(p) else p
+        odd[row(p)] = True
+    return odd
+
+
+def slice_ids(encoder: Encoder, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The ids of each row of a slice of texts."""
+    at = at - at[0]
+    odd = _odd_rows(encoder, raw, at)
+    starts, ends, before = word_spans(raw, BLANK, at)
+    h = span_hashes(raw, starts, ends, salt=17)
+    if encoder.words_only:
+        kind = np.zeros(len(starts), np.int8)
+    else:  # 0 behind a space, 1 at the beginning, 2 behind a newline
+        kind = np.where(raw[np.maximum(starts - 1, 0)] == 10, 2, 0).astype(np.int8)
+        kind[before[:-1][np.diff(before) > 0]] = 1
+        h = h ^ kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h[h == 0] = 1
+    even = ~np.repeat(odd, np.diff(before))
+    use = np.flatnonzero(even)
+    text = raw.tobytes()
+
+    def encode(places):
+        lead = ("",) if encoder.words_only else ("", HEAD, HEAD)
+        k = use[places]
+        keys = [lead[t] + text[a:b].decode() for t, a, b in zip(kind[k].tolist(), starts[k].tolist(), ends[k].tolist())]
+        got = encoder.encode_pieces(list(dict.fromkeys(keys)))
+        line = encoder.mark_bytes
+        parts = [line + got[w] if t == 2 else got[w] for t, w in zip(kind[k].tolist(), keys)]
+        return np.frombuffer(b"".join(parts), np.uint32), np.array([len(p) // 4 for p in parts], np.int64)
+
+    flat, size = encoder.table.ids(encoder.table.resolve(h[use], encode))
+    total = np.zeros(len(h) + 1, np.int64)
+    total[1:][even] = size
+    ends_at = np.cumsum(total)[before]
+    out = [flat[a:b] for a, b in zip(ends_at[:-1], ends_at[1:])]
+    rows = np.flatnonzero(odd).tolist()
+    for i, ids in zip(rows, encoder.ids_of([text[at[i] : at[i + 1]].decode() for i in rows])):
+        out[i] = ids
+    return out
+
+
+def encoded(path: str, column):
+    """The ids of each row of a string column, null as empty, in order; for use within a task."""
+    own = encoder(path)
+    raw, at = text_buffers(column)
+    for first, last in slices(at, 1 << 20):
+        yield from slice_ids(own, raw[at[first] : at[last]], at[first : last + 1])
 
 
 @lru_cache(maxsize=4)
