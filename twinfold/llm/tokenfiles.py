@@ -33,6 +33,8 @@ from .common import NULL_ID, cut, load, pick, running_totals, shared_dir
 from .tokens import encoded, encoder, vocabulary
 
 LENGTH, ROWS, END = 2048, 256, 1
+#: Parts that one task reads back, about.
+PARTS_READ = 4
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -136,8 +138,9 @@ class PartReader:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, parts: int | None = None) -> DataFrame:
-    """Writes all documents as parts of ascending doc_ids. One row for each part:
-    part, n_ids, n_docs, already written. Texts are dealt out once, by ranges."""
+    """Writes all documents as parts of ascending doc_ids. One row for each part: part, n_ids,
+    n_docs, which come to the driver as they are written (as many as there are parts, however
+    many documents). Texts are dealt out once, by ranges."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = keyed_texts(docs).withColumn("tie", F.xxhash64("text"))
@@ -157,7 +160,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, parts: int | None
             n, docs_in = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([docs_in])], ["part", "n_ids", "n_docs"])
 
-    return cut(dealt.mapInArrow(run, "part long, n_ids long, n_docs long"))
+    shape = "part long, n_ids long, n_docs long"
+    return spark.createDataFrame(dealt.mapInArrow(run, shape).collect(), shape)
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
@@ -173,7 +177,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     crc = [zlib.crc32(reader.ids(int(s), int(k)).astype("<u4").tobytes()) for s, k in zip(start, n)]
                     yield pa.RecordBatch.from_arrays([pick(x.column("doc_id")), pa.array(start + base), pick(x.column("n_tokens")), pa.array(crc, pa.int64())], ["did", "start", "n_tokens", "ids_crc32"])
 
-    tasks = max(1, manifest.count())
+    tasks = -(-max(1, manifest.count()) // PARTS_READ)
     rows = first.repartition(tasks).mapInArrow(run, "did long, start long, n_tokens long, ids_crc32 long")
     return rows.withColumn("doc_id", F.when(F.col("did") < NULL_ID, F.col("did"))).drop("did")
 
