@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def parent(path: Column) -> Column:
-    """The directory of a path; '/' for what stands in the root."""
-    p = F.regexp_replace(path, r"/[^/]*\z", "")
+    """The directory of a path; '/' for what stands in the root, '' for a bare name."""
+    p = F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*\z", "")).otherwise("")
     return F.when(path.startswith("/") & (p == ""), "/").otherwise(p)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.paths import virtual_column
 from .functions.rules import rule_list
+from .lineage import cut
 from .operators import groups, hashing, overlap, trees
 from .options import Options, parse, session
 from .plans import effects, queue, report
@@ -24,7 +25,7 @@ def scan(spark: SparkSession, o: Options) -> DataFrame:
 def analyse(spark: SparkSession, o: Options, now: int | None = None) -> dict[str, DataFrame]:
     """The tables of a run: files, groups, members, trees, blocks, queue, plan."""
     now = int(time.time()) if now is None else now
-    every = scan(spark, o).where("error is null").persist()
+    every = cut(scan(spark, o).where("error is null"))
     files = groups.first_of_inode(every.where("accepted")).drop("accepted", "error").withColumn("md5", F.lit(None).cast("string"))
     key = groups.CONTENT if o.checksum else groups.FAST
     if o.checksum:
@@ -36,23 +37,26 @@ def analyse(spark: SparkSession, o: Options, now: int | None = None) -> dict[str
             for p in parts[1:]:
                 side = side.unionByName(p)
         known = cache.read(spark, o.cache) if o.cache else None
-        hashed = hashing.resolve(wanted, side, known, now, o.cache_max_age, o.rehash).persist()
+        hashed = cut(hashing.resolve(wanted, side, known, now, o.cache_max_age, o.rehash))
         if o.cache:
             cache.append(hashed, o.cache, now)
         files = files.drop("md5").join(hashed.select("path", "md5"), "path", "left")
+    # tables that those below are made of several times
+    files = cut(files)
     found = groups.groups(files, key, o.cross_root)
-    rows = groups.members(files, key, o.cross_root)
+    rows = cut(groups.members(files, key, o.cross_root))
     pairs = spark.createDataFrame([], "dir_a string, root_a string, dir_b string, root_b string, file_count long, total_size long")
     if o.trees:
         gaps = trees.incomplete_directories(every)
-        pairs = trees.identical_trees(files, "content" if o.checksum else "fast", incomplete=gaps)
+        pairs = trees.identical_trees(files, "content" if o.checksum else "fast", prune=False, incomplete=gaps)
         if o.checksum:
-            more = trees.covering_trees(files, rows, incomplete=gaps, strict=True)
-            pairs = trees.undominated(pairs.unionByName(more).dropDuplicates(["dir_a", "dir_b"]))
+            more = trees.covering_trees(files, rows, prune=False, incomplete=gaps, strict=True)
+            pairs = pairs.unionByName(more).dropDuplicates(["dir_a", "dir_b"])
+        pairs = cut(trees.undominated(cut(pairs)))
         if o.cross_root_trees:
             pairs = pairs.where("root_a <> root_b")
     column = F.col("root") if len(o.roots) > 1 else virtual_column(F.col("path"), F.col("root"), o.overlap_depth)
-    items = overlap.items(rows, column, o.overlap_block, o.overlap_least)
+    items = cut(overlap.items(rows, column, o.overlap_block, o.overlap_least))
     if not o.overlap:
         items = items.limit(0)
     blocks = overlap.blocks(items)
