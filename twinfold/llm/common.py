@@ -7,7 +7,6 @@ size of its partition.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, shared_dir  # noqa: F401
+
 #: Bytes of text that numpy works on at a time.
 SLICE_BYTES = 1 << 20
 #: A null doc_id takes part as this largest value and is returned as null.
@@ -30,27 +31,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names
-    none (tests, one machine) a temporary folder is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    at = tempfile.mkdtemp(prefix="twinfold-")
-    spark.sparkContext.setCheckpointDir(at)
-    return f"file://{at}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder: a later loss of executors
-    costs no recomputation, and Spark's cleaner removes the files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
