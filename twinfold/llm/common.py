@@ -162,7 +162,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     can be reached. Alternating large and small stars; each step is an aggregate
     (combined before the shuffle) and an equi-join, which Spark may split for
     nodes of high degree. Written to the shared folder after each round."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), narrow=True)
     for _ in range(most_rounds):
         # done when every node has one node above it, which has none: all trees are stars
         single = e.groupBy("u").count().where("count > 1").isEmpty()
@@ -173,7 +173,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), narrow=True)
     else:
         raise RuntimeError(f"components: not done after {most_rounds} rounds")
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -180,7 +180,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def roots_of(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root) for each distinct fingerprint of marked: root names its component."""
-    classes = cut(marked.select("fp").distinct())
+    classes = cut(marked.select("fp").distinct(), narrow=True)
     found = components(links(classes, radius)).withColumnRenamed("node", "fp")
     return classes.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
