@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, mix
 
 #: Anchor rows that are combined at a time.
-FLUSH_ROWS = 1_000_000
+FLUSH_ROWS = 600_000
 ANCHOR_SHAPE = "k long, m boolean, did long, pos int"
 _ANCHOR = pa.schema([("k", pa.int64()), ("m", pa.bool_()), ("did", pa.int64()), ("pos", pa.int32())])
 

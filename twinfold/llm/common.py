@@ -7,6 +7,7 @@ size of its partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,6 +130,21 @@ def word_spans(raw: np.ndarray, separator: np.ndarray, at: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(starts, at)
 
 
+def tidy(run):
+    """The same function over batches, which gives freed memory back to the system at the
+    end of a task: workers are used again by later stages."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not every C library has it
+            pass
+
+    return tidied
+
+
 def pick(column: pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 

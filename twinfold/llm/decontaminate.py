@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, pick, plain, slices, span_hashes, text_buffers, word_spans
+from .common import load, pick, plain, slices, span_hashes, text_buffers, tidy, word_spans
 
 SPAN, GRAM = 10, 5
 WINDOW = SPAN - GRAM + 1
@@ -180,7 +180,7 @@ def _scan(docs: DataFrame, items: list, keep: tuple[str, ...]) -> DataFrame:
 
     frame = plain(docs, *dict.fromkeys([*keep, "text"]))
     shape = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keep)
-    return frame.mapInArrow(run, f"{shape}, n_words long, spans array<long>, items array<string>")
+    return frame.mapInArrow(tidy(run), f"{shape}, n_words long, spans array<long>, items array<string>")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:

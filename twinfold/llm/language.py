@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, load, pick, plain, slices, text_buffers
+from .common import held_out, load, pick, plain, slices, text_buffers, tidy
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -152,7 +152,7 @@ def score_texts(column: pa.Array, model: dict | None) -> tuple[list[str], np.nda
     n = len(at) - 1
     names = model["names"] if model else []
     z, count = np.zeros((n, max(1, len(names)))), np.zeros(n, np.int64)
-    for a, b in slices(at, 1 << 19) if model else ():
+    for a, b in slices(at, 1 << 18) if model else ():
         # a space after each row keeps n-grams from crossing rows
         m = b - a
         part = np.full(int(at[b] - at[a]) + m + 1, 32, np.uint8)
@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_
 
     frame = plain(docs, *dict.fromkeys([*keep, "text"]))
     shape = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keep)
-    return frame.mapInArrow(run, f"{shape}, lang_pred string, score double, accepted boolean")
+    return frame.mapInArrow(tidy(run), f"{shape}, lang_pred string, score double, accepted boolean")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

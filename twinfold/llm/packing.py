@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, load, pick, plain, running_totals
+from .common import cut, load, pick, plain, running_totals, tidy
 from .tokens import encoded, encoder, vocabulary
 
 CAPACITY, END, BATCH = 2048, 1, 1024
@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         encoder(tokenizer).trim()
 
     shape = f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
-    return frame.mapInArrow(run, shape + ", ids array<long>" * with_ids)
+    return frame.mapInArrow(tidy(run), shape + ", ids array<long>" * with_ids)
 
 
 def pack_pieces(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, load, pick, plain, slices, text_buffers
+from .common import held_out, load, pick, plain, slices, text_buffers, tidy
 
 PASSAGE = 512
 #: Bounds of the training sample: texts, and bytes in all.
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id"
 
     frame = plain(docs, *dict.fromkeys([*keep, "text"]))
     shape = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keep)
-    return frame.mapInArrow(run, f"{shape}, score double, top_attention double")
+    return frame.mapInArrow(tidy(run), f"{shape}, score double, top_attention double")
 
 
 def op3_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, components, cut, load, pick, plain
+from .common import NULL_ID, components, cut, load, pick, plain, tidy
 
 RADIUS = 3
 SEED = 42
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
 
     frame = plain(docs, *dict.fromkeys([*keep, "text"]))
     shape = ", ".join(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keep)
-    return frame.mapInArrow(run, f"{shape}, fp long")
+    return frame.mapInArrow(tidy(run), f"{shape}, fp long")
 
 
 def _byte_counts(fp: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .anchors import ANCHOR_SHAPE, Anchors, copies, covered, keyed_texts, list_slices, shared_places, with_copies
-from .common import BLANK, load, mix, pick, slices, span_hashes, text_buffers, word_spans
+from .common import BLANK, load, mix, pick, slices, span_hashes, text_buffers, tidy, word_spans
 
 WINDOW, PERIOD = 50, 31
 GRAM = WINDOW - PERIOD + 1
@@ -173,16 +173,16 @@ def _dedup(docs: DataFrame, make, out: str, rest: tuple[str, ...] = ()) -> DataF
     base = keyed_texts(docs, rest)
     texts = with_copies(base, copies(base))
     own = ["did", "text", "rest"]
-    anchors = texts.where("not copy").select(*own).mapInArrow(_anchor_batches, ANCHOR_SHAPE)
+    anchors = texts.where("not copy").select(*own).mapInArrow(tidy(_anchor_batches), ANCHOR_SHAPE)
     marks = shared_places(anchors, by_doc=True)
     joined = texts.join(marks.hint("shuffle_hash"), "did").where("not copy").select(*own, "marks")
-    windows = joined.mapInArrow(_window_batches, _WINDOW_SHAPE)
+    windows = joined.mapInArrow(tidy(_window_batches), _WINDOW_SHAPE)
     low = F.min("did").over(Window.partitionBy("m", "k1", "k2"))
     gone = windows.withColumn("low", low).where("m or did > low")
     gone = gone.groupBy("did").agg(F.collect_list("pos").alias("pos"), F.collect_list(F.expr("if(m, k2, k1)")).alias("h"))
     last = texts.join(gone.hint("shuffle_hash"), "did", "left").select(*own, "copy", "pos", "h")
     shape = f"rest {base.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, out string"
-    done = last.mapInArrow(_result_batches(make), shape)
+    done = last.mapInArrow(tidy(_result_batches(make)), shape)
     return done.select("rest.*", "n_words", "n_removed", F.col("out").alias(out))
 
 

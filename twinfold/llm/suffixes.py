@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import ANCHOR_SHAPE, Anchors, copies, covered, keyed_texts, list_slices, shared_places, with_copies
-from .common import gram_hashes, load, mix, pick, slices, text_buffers
+from .common import gram_hashes, load, mix, pick, slices, text_buffers, tidy
 
 LENGTH, GRAM = 200, 80
 SPREAD = LENGTH - GRAM + 1
 Q = 8
 #: Bytes of stretches that are sorted at a time (a single group may be larger).
-SORT_BYTES = 3_000_000
+SORT_BYTES = 2_000_000
 
 
 # --- bucket-pointer refinement -------------------------------------------------
@@ -282,15 +282,15 @@ def _dedup(docs: DataFrame, make, kind: str, out: str, rest: tuple[str, ...] = (
     base = keyed_texts(docs, rest)
     texts = with_copies(base, copies(base))
     own = ["did", "text", "rest"]
-    anchors = texts.where("not copy").select(*own).mapInArrow(_anchor_batches, ANCHOR_SHAPE)
+    anchors = texts.where("not copy").select(*own).mapInArrow(tidy(_anchor_batches), ANCHOR_SHAPE)
     marks = shared_places(anchors, by_doc=False)
     joined = texts.join(marks.hint("shuffle_hash"), "did").where("not copy").select(*own, "marks")
-    stretches = joined.mapInArrow(_stretch_batches, _STRETCH_SHAPE)
-    met = stretches.repartition("m", "k").sortWithinPartitions("m", "k").mapInArrow(_meeting_batches, _STRETCH_SHAPE)
+    stretches = joined.mapInArrow(tidy(_stretch_batches), _STRETCH_SHAPE)
+    met = stretches.repartition("m", "k").sortWithinPartitions("m", "k").mapInArrow(tidy(_meeting_batches), _STRETCH_SHAPE)
     spans = met.groupBy("did").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     last = texts.join(spans.hint("shuffle_hash"), "did", "left").select(*own, "multi", "lo", "hi")
     shape = f"rest {base.schema['rest'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, out {kind}"
-    done = last.mapInArrow(_result_batches(make), shape)
+    done = last.mapInArrow(tidy(_result_batches(make)), shape)
     return done.select("rest.*", "n_bytes", "n_removed", "n_spans", F.col("out").alias(out))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import keyed_texts
-from .common import NULL_ID, cut, load, pick, running_totals, shared_dir
+from .common import NULL_ID, cut, load, pick, running_totals, shared_dir, tidy
 from .tokens import encoded, encoder, vocabulary
 
 LENGTH, ROWS, END = 2048, 256, 1
@@ -161,7 +161,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, parts: int | None
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([docs_in])], ["part", "n_ids", "n_docs"])
 
     shape = "part long, n_ids long, n_docs long"
-    return spark.createDataFrame(dealt.mapInArrow(run, shape).collect(), shape)
+    return spark.createDataFrame(dealt.mapInArrow(tidy(run), shape).collect(), shape)
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
@@ -178,7 +178,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pick(x.column("doc_id")), pa.array(start + base), pick(x.column("n_tokens")), pa.array(crc, pa.int64())], ["did", "start", "n_tokens", "ids_crc32"])
 
     tasks = -(-max(1, manifest.count()) // PARTS_READ)
-    rows = first.repartition(tasks).mapInArrow(run, "did long, start long, n_tokens long, ids_crc32 long")
+    rows = first.repartition(tasks).mapInArrow(tidy(run), "did long, start long, n_tokens long, ids_crc32 long")
     return rows.withColumn("doc_id", F.when(F.col("did") < NULL_ID, F.col("did"))).drop("did")
 
 

@@ -336,7 +336,7 @@ def encoded(path: str, column):
     """The ids of each row of a string column, null as empty, in order; for use within a task."""
     own = encoder(path)
     raw, at = text_buffers(column)
-    for first, last in slices(at, 1 << 20):
+    for first, last in slices(at, 1 << 19):
         yield from slice_ids(own, raw[at[first] : at[last]], at[first : last + 1])
 
 
