@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, media, packing, quality, sharding, simhash, substring, suffixes, tokenfiles
+from . import decontaminate, language, media, oracles, packing, quality, sharding, simhash, substring, suffixes, tokenfiles
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_winnow_hits": oracles.WINNOW_HITS, "op6_cover_dedup": oracles.COVER_DEDUP}
