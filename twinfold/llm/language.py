@@ -32,6 +32,8 @@ SAMPLE_BYTES = 12_000_000
 STEP_BYTES = 4096
 #: Share of rightly labelled validation texts that the threshold keeps.
 KEPT = 0.999
+#: Upper bound of the threshold, in shares of one label among all.
+CHANCE = 1.5
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -106,8 +108,9 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7, epochs: int = 4) -
 
 
 def calibrate(z: np.ndarray, right: np.ndarray) -> tuple[float, float]:
-    """Temperature of least log loss, and the threshold that keeps KEPT of the
-    rightly labelled texts, never above an even chance between two labels."""
+    """Temperature of least log loss, and the threshold that keeps KEPT of the rightly
+    labelled texts, at most CHANCE times the share of each label if nothing is known: texts
+    of several languages, which lie above that, stay."""
     if not len(z):
         return 1.0, 0.0
     best = (np.inf, 1.0)
@@ -117,7 +120,7 @@ def calibrate(z: np.ndarray, right: np.ndarray) -> tuple[float, float]:
         best = min(best, (loss, float(t)))
     p = softmax(z / best[1])
     good = p.max(1)[p.argmax(1) == right]
-    return best[1], min(0.5, float(np.quantile(good, 1 - KEPT))) if len(good) else 0.0
+    return best[1], min(CHANCE / z.shape[1], float(np.quantile(good, 1 - KEPT))) if len(good) else 0.0
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
