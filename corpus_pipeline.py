@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinfold.llm import decontaminate, language, packing, simhash, substring
+from twinfold.llm import decontaminate, language, neardup, packing, substring
 from twinfold.llm.common import load, plain, shared_dir
 from twinfold.llm.tokens import vocabulary
 
@@ -28,8 +28,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest doc_id."""
-    return simhash.keep_one(plain(docs, *COLUMNS))
+    """Of each group of near copies (Jaccard 0.8 or more on 5-word shingles) the document of
+    smallest doc_id."""
+    return neardup.keep_one(plain(docs, *COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
