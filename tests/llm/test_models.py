@@ -49,6 +49,37 @@ def test_language_does_not_depend_on_neighbours():
     assert np.allclose(language.score_texts(pa.array(texts), model)[1], alone)
 
 
+def sampled(spark, monkeypatch, rows):
+    """How many texts of each label training is given, and their bytes in all."""
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda texts, labels: seen.append((texts, labels)))
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    (texts, labels), = seen
+    return {k: labels.count(k) for k in set(labels)}, sum(map(len, texts))
+
+
+def test_language_sample_of_a_rare_label(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TEXTS", 40)
+    # label g is rarer, but has more rows than are taken
+    rows = [(k, f"text {k}", "abcdef"[k % 6]) for k in range(12_000)] + [(20_000 + k, f"rare {k}", "g") for k in range(200)]
+    count, _ = sampled(spark, monkeypatch, rows)
+    assert set(count) == set("abcdefg") and min(count.values()) >= 30 and max(count.values()) <= 40
+
+
+def test_language_sample_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TEXTS", 40)
+    monkeypatch.setattr(language, "SAMPLE_BYTES", 100_000)
+    rows = [(k, f"{k:06d} " * 1300, "abc"[k % 3]) for k in range(3000)] + [(5000 + k, f"{k:06d} " * 1300, "d") for k in range(120)]
+    count, held = sampled(spark, monkeypatch, rows)
+    assert set(count) == set("abcd") and min(count.values()) >= 30 and 60_000 < held <= 100_000
+
+
+def test_language_caps():
+    assert language.caps({"a": [5, 5], "b": [100, 20]}, 60) == {"a": 5, "b": 30}
+    assert language.caps({"a": [5], "b": [7, 8]}, 60) == {"a": 5, "b": 8}
+    assert language.caps({"a": [10] * 3, "b": [10]}, 20) == {"a": 3, "b": 10}
+
+
 def test_quality_learns_junk_passages(spark):
     rng = random.Random(2)
     rows, labels = [], []

@@ -18,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, load, pick, plain, slices, text_buffers, tidy
+from .common import cut, held_out, load, pick, plain, slices, text_buffers, tidy
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -128,9 +128,26 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def caps(sizes: dict[str, list[int]], total: int) -> dict[str, int]:
+    """For each label how many bytes a text of it may give, so that all give at most `total`:
+    labels share it alike, and so do the texts of a label; what short ones leave goes to
+    the others."""
+
+    def level(amounts: list[int], total: int) -> int:
+        for k, n in enumerate(sorted(amounts)):
+            if n * (len(amounts) - k) > total:
+                return total // (len(amounts) - k)
+            total -= n
+        return max(amounts, default=0)
+
+    share = level([sum(x) for x in sizes.values()], total)
+    return {k: level(x, share) for k, x in sizes.items()}
+
+
 def train(docs: DataFrame) -> dict | None:
-    """Fit on a bounded, repeatable sample: for each language the rows of smallest
-    hash, at a rate from the language's count so that few texts are read."""
+    """Fit on a bounded, repeatable sample: for each language the SAMPLE_TEXTS rows of smallest
+    hash, drawn at a rate from the language's count so that few texts are read. Where they
+    are over SAMPLE_BYTES in all, long texts give a stretch from a place by hash."""
     labelled = docs.where(docs["lang"].isNotNull() & docs["text"].isNotNull() & ~held_out())
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
@@ -138,15 +155,17 @@ def train(docs: DataFrame) -> dict | None:
     order = F.xxhash64("doc_id", F.lit("language"))
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * SAMPLE_TEXTS / n))])
     drawn = labelled.where(F.shiftrightunsigned(order, 11) / float(1 << 53) < rate[F.col("lang")])
-    rows = drawn.select("lang", "text", order.alias("o")).orderBy("o", "lang", "text").limit(SAMPLE_TEXTS * len(counts)).collect()
-    texts, labels, held = [], [], 0
-    for r in rows:
-        t = r["text"].encode()
-        if held + len(t) <= SAMPLE_BYTES:
-            held += len(t)
-            texts.append(t)
-            labels.append(r["lang"])
-    return fit(texts, labels)
+    rows = drawn.select("lang", F.encode("text", "utf-8").alias("raw"), order.alias("o"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("o", "raw"))
+    rows = cut(rows.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_TEXTS).withColumn("n", F.octet_length("raw")), narrow=True)
+    sizes: dict[str, list[int]] = {}
+    for r in rows.select("lang", "n").collect():
+        sizes.setdefault(r["lang"], []).append(r["n"])
+    cap = F.create_map(*[F.lit(x) for k, n in caps(sizes, SAMPLE_BYTES).items() for x in (k, n)])[F.col("lang")]
+    at = F.when(F.col("n") > cap, F.pmod(F.xxhash64("o"), F.col("n") - cap + 1)).otherwise(0).cast("int")
+    part = rows.withColumn("part", F.substring("raw", at + 1, cap))
+    got = part.orderBy("o", "lang", "raw").select("lang", "part").collect()
+    return fit([bytes(r["part"]) for r in got], [r["lang"] for r in got])
 
 
 def score_texts(column: pa.Array, model: dict | None) -> tuple[list[str], np.ndarray, np.ndarray]:
