@@ -48,6 +48,13 @@ def test_against_brute_force(spark):
     check(spark, rows)
 
 
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(n))
+    shared = say(120)
+    check(spark, [(None, say(900) + shared + say(300)), (None, say(2000)), (1, say(50) + shared), (None, say(60)), (7, say(400) + shared), (7, say(1500)), (7, say(20))])
+
+
 def test_empty(spark):
     assert suffixes.remove_repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -21,7 +21,8 @@ task. Equal stretches are one text with a weight. Texts that occur twice are rem
 whole (if long enough) and one of them takes part for the others' sake.
 
 Null texts are empty; texts under LENGTH bytes lose nothing. Rows with equal doc_id and
-text are two places. A null doc_id counts as the largest. Empty table: empty result.
+text are two places. Places belong to a 64-bit hash of doc_id and text, `did` here, so
+different texts of one doc_id (or of none) are apart. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -279,7 +280,7 @@ def _result_batches(make):
 
 
 def _dedup(docs: DataFrame, make, kind: str, out: str, rest: tuple[str, ...] = ()) -> DataFrame:
-    base = keyed_texts(docs, rest)
+    base = keyed_texts(docs, rest).withColumn("did", F.xxhash64("did", "text"))  # rows of one id may have several texts
     texts = with_copies(base, copies(base))
     own = ["did", "text", "rest"]
     anchors = texts.where("not copy").select(*own).mapInArrow(tidy(_anchor_batches), ANCHOR_SHAPE)
