@@ -26,6 +26,7 @@ NULL_ID = (1 << 63) - 1
 _MULT = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_ALL = (1 << 64) - 1
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -90,7 +91,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of values[start:end] for each pair, from prefix sums of a
-    polynomial; equal spans have equal hashes wherever they stand."""
+    polynomial; equal spans have equal hashes wherever they stand. Spans can be made to collide,
+    so it only chooses places, and what meets by it is compared."""
     v = values.astype(np.uint64)
     v += np.uint64(1 + salt)
     if values.dtype != np.uint8:
@@ -109,6 +111,59 @@ def gram_hashes(values: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return span_hashes(values, starts, starts + n, salt)
 
 
+#: Bytes of a lane that belong to a word of so many bytes.
+_TAKE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longest span whose lanes are mixed one by one; longer ones go through the XXH3 library.
+LANE_BYTES = 256
+
+
+def lanes_of(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of raw on, as one number; zeros follow the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of raw[start:end] for each pair. Eight bytes at a time go through a
+    full mix, so no arrangement of bytes cancels out whatever stands in them; a secret key
+    keeps texts from being made to collide."""
+    lanes, size = lanes_of(raw), ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(key & _ALL))
+    long = np.flatnonzero(size > LANE_BYTES)
+    if len(long):
+        import xxhash
+
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:b].tobytes(), key & _ALL) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    left = np.flatnonzero(size <= LANE_BYTES) if len(long) else np.arange(len(size))
+    at, rest = starts[left], size[left]
+    while len(left):
+        h[left] = mix(h[left] ^ (lanes[at] & _TAKE[np.minimum(rest, 8)]))
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    return h
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a + (b ^ (b >> np.uint64(31))) * np.uint64(_BASE))
+
+
+def run_hashes(values: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of every run of n hashes: runs of twice the length are made of two halves,
+    each step a full mix."""
+    if len(values) < n:
+        return np.zeros(0, np.uint64)
+    m, out, have, size, power = len(values) - n + 1, None, 0, 1, values
+    while True:
+        if n & size:
+            out = power if out is None else _join(out[: len(power) - have], power[have:])
+            have += size
+        size *= 2
+        if size > n:
+            return mix(out[:m] + np.uint64(n))
+        power = _join(power[: -(size // 2)], power[size // 2 :])
+
+
 #: ASCII white space: the separators of `[^\x20\x09-\x0D]+`.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -161,16 +216,16 @@ def flagged(rows: DataFrame, keys: list[str], shared) -> DataFrame:
 
 
 def running_totals(df: DataFrame, key: str, amount: str, out: str, block: int = 4096) -> DataFrame:
-    """df (one row for each integer key) with the sum of `amount` over all smaller keys.
+    """key (integer, one row each) and `out`, the sum of `amount` over all smaller keys.
     Two levels of windows: no task sorts more than `block` keys or the block totals."""
     from pyspark.sql import Window
 
-    before = lambda w: F.coalesce(F.sum("_a").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = df.withColumn("_b", F.floor(F.col(key) / block)).withColumn("_a", F.col(amount).cast("long"))
-    tops = base.groupBy("_b").agg(F.sum("_a").alias("_a"))
-    tops = tops.select("_b", before(Window.orderBy("_b")).alias("_t"))
-    inner = base.withColumn("_i", before(Window.partitionBy("_b").orderBy(key)))
-    return inner.join(tops, "_b").withColumn(out, (F.col("_t") + F.col("_i")).cast("long")).drop("_b", "_a", "_i", "_t")
+    before = lambda w: F.coalesce(F.sum("a").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = df.select(df[key].alias("k"), F.floor(df[key] / block).alias("b"), df[amount].cast("long").alias("a"))
+    tops = base.groupBy("b").agg(F.sum("a").alias("a"))
+    tops = tops.select("b", before(Window.orderBy("b")).alias("t"))
+    inner = base.withColumn("i", before(Window.partitionBy("b").orderBy("k")))
+    return inner.join(tops, "b").select(F.col("k").alias(key), (F.col("t") + F.col("i")).cast("long").alias(out))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -3,10 +3,10 @@
 Both vocabularies cut a text into pre-tokens that never run from a character that is
 not white space into white space, so the ids of a text are the ids of its pieces (white
 space, then anything else) one after another. Pieces repeat; each is encoded by
-the tokenizers library once and looked up after that, by the 64-bit hashes of all words of a
-slice at once. What is held is bounded (two generations: of a full table only what is met
-again stays), which changes no id. Texts with unusual white space or special
-tokens take a slower way with the same result.
+the tokenizers library once and looked up after that, all words of a slice at once: a 64-bit
+hash finds the entry, whose bytes are then compared with the word's. What is held is bounded
+(two generations: of a full table only what is met again stays), which changes no id. Texts
+with unusual white space or special tokens take a slower way with the same result.
 """
 
 from __future__ import annotations
@@ -17,10 +17,14 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import BLANK, slices, span_hashes, text_buffers, word_spans
+from .common import _TAKE, BLANK, lanes_of, slices, text_buffers, word_hashes, word_spans
 
 #: Pieces that a worker holds at most (about 0.25 KB each), and length of the longest that it holds.
 HELD, LONGEST = 100_000, 64
+#: Words that are looked up at a time.
+PORTION = 250_000
+#: Each worker hashes in its own way, so no text can be made to fill one slot.
+KEY = int.from_bytes(os.urandom(8), "little")
 
 #: White space in the sense of the tokenizers' patterns.
 _WHITE = frozenset(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -173,12 +177,33 @@ class Encoder:
         self.table.trim()
 
 
+class Words:
+    """Words of a slice: where they begin, how long they are, and a small number that
+    belongs to each as if it were one more letter."""
+
+    def __init__(self, lanes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, kinds: np.ndarray):
+        self.lanes, self.starts, self.sizes, self.kinds = lanes, starts, sizes, kinds
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def take(self, at) -> Words:
+        return Words(self.lanes, self.starts[at], self.sizes[at], self.kinds[at])
+
+    def tags(self) -> np.ndarray:
+        return self.sizes * 4 + self.kinds
+
+    def lane(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8k to 8k + 7 of some words; zeros behind the end."""
+        return self.lanes[self.starts[at] + 8 * k] & _TAKE[np.minimum(self.sizes[at] - 8 * k, 8)]
+
+
 class WordTable:
-    """Ids of words by 64-bit hash, open addressing in numpy arrays; bounded in two
-    generations. Words of a whole Arrow slice are looked up at once."""
+    """Ids of words, open addressing by 64-bit hash in numpy arrays; bounded in two
+    generations. An entry holds the word itself, and counts only if that is the same."""
 
     BITS = 21
-    #: Words of one generation (about 40 bytes each).
+    #: Words of one generation (about 60 bytes each).
     MOST = 400_000
 
     def __init__(self):
@@ -188,8 +213,9 @@ class WordTable:
     def reset(self) -> None:
         self.keys = np.zeros(1 << self.BITS, np.uint64)
         self.at = np.zeros(1 << self.BITS, np.int32)
-        self.starts, self.sizes = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-        self.flat, self.n, self.used = np.zeros(1 << 18, np.uint32), 0, 0
+        self.starts, self.sizes, self.first, self.tags = (np.zeros(1 << 16, np.int32) for _ in range(4))
+        self.flat, self.lanes = np.zeros(1 << 18, np.uint32), np.zeros(1 << 17, np.uint64)
+        self.n = self.used = self.filled = 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash, -1 where there is none."""
@@ -208,17 +234,39 @@ class WordTable:
             left, slot = left[more], slot[more]
         return out
 
-    def put(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """New, distinct hashes with their ids one after another."""
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n + len(h) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+    def same(self, entry: np.ndarray, words: Words) -> np.ndarray:
+        """Whether each entry (-1: none) holds its word, byte for byte."""
+        ok = (entry >= 0) & (self.tags[entry] == words.tags())
+        left, k = np.flatnonzero(ok), 0
+        while len(left):
+            equal = self.lanes[self.first[entry[left]] + k] == words.lane(left, k)
+            ok[left[~equal]] = False
+            k += 1
+            left = left[equal & (words.sizes[left] > 8 * k)]
+        return ok
+
+    @staticmethod
+    def _room(held: np.ndarray, n: int) -> np.ndarray:
+        while n > len(held):
+            held = np.concatenate([held, np.zeros_like(held)])
+        return held
+
+    def put(self, h: np.ndarray, words: Words, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New, distinct hashes, their words, and their ids one after another."""
+        count = np.maximum(1, -(-words.sizes // 8))
+        self.flat = self._room(self.flat, self.used + len(ids))
+        self.lanes = self._room(self.lanes, self.filled + int(count.sum()))
+        self.starts, self.sizes, self.first, self.tags = (self._room(x, self.n + len(h)) for x in (self.starts, self.sizes, self.first, self.tags))
         entry = np.arange(self.n, self.n + len(h))
         self.flat[self.used : self.used + len(ids)] = ids
         self.starts[entry] = self.used + np.cumsum(sizes) - sizes
         self.sizes[entry] = sizes
-        self.used, self.n = self.used + len(ids), self.n + len(h)
+        self.first[entry] = self.filled + np.cumsum(count) - count
+        self.tags[entry] = words.tags()
+        for k in range(int(count.max(initial=0))):
+            more = np.flatnonzero(count > k)
+            self.lanes[self.first[entry[more]] + k] = words.lane(more, k)
+        self.used, self.filled, self.n = self.used + len(ids), self.filled + int(count.sum()), self.n + len(h)
         mask = np.int64((1 << self.BITS) - 1)
         slot = (h >> np.uint64(64 - self.BITS)).astype(np.int64)
         left = np.arange(len(h))
@@ -234,36 +282,54 @@ class WordTable:
     def ids(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of entries one after another, and how many each has."""
         size = self.sizes[entry].astype(np.int64)
-        end = np.cumsum(size)
-        shift = np.repeat(self.starts[entry] - (end - size), size)
-        return self.flat[shift + np.arange(len(shift))], size
-
-    def resolve(self, h: np.ndarray, encode) -> np.ndarray:
-        """The entry of each hash; encode gives ids and sizes of the words at some places."""
+        return _gathered(self.flat, self.starts[entry], size), size
+
+    def _learn(self, h: np.ndarray, words: Words, place: np.ndarray, encode) -> None:
+        """Puts words of new, distinct hashes in, from the older generation where it has them."""
+        if self.older is not None:
+            held = self.older.find(h[place])
+            known = self.older.same(held, words.take(place))
+            if known.any():
+                self.put(h[place[known]], words.take(place[known]), *self.older.ids(held[known]))
+            place = place[~known]
+        if len(place):
+            self.put(h[place], words.take(place), *encode(place))
+
+    def lookup(self, h: np.ndarray, words: Words, encode) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and how many each has; encode gives the same
+        for the words at some places. Words too long to hold, and such as have the hash of
+        another one, are encoded each time."""
         if self.n > self.MOST:
             old = WordTable.__new__(WordTable)
             old.__dict__.update({k: v for k, v in self.__dict__.items() if k != "older"}, older=None)
             self.older = old
             self.reset()
         entry = self.find(h)
-        gone = np.flatnonzero(entry < 0)
-        if len(gone):
-            new, first = np.unique(h[gone], return_index=True)
-            place = gone[first]
-            if self.older is not None:
-                held = self.older.find(new)
-                known = held >= 0
-                self.put(new[known], *self.older.ids(held[known]))
-                new, place = new[~known], place[~known]
-            if len(new):
-                self.put(new, *encode(place))
-            entry[gone] = self.find(h[gone])
-        return entry
+        known = self.same(entry, words)
+        fresh = np.flatnonzero((entry < 0) & (words.sizes <= LONGEST))
+        if len(fresh):
+            _, first = np.unique(h[fresh], return_index=True)
+            self._learn(h, words, fresh[first], encode)
+            entry[fresh] = self.find(h[fresh])
+            known[fresh] = self.same(entry[fresh], words.take(fresh))
+        rest = np.flatnonzero(~known)
+        if not len(rest):
+            return self.ids(entry)
+        more, own = encode(rest)
+        size, start = self.sizes[entry].astype(np.int64), self.starts[entry].astype(np.int64)
+        size[rest], start[rest] = own, self.used + np.cumsum(own) - own
+        return _gathered(np.concatenate([self.flat[: self.used], more]), start, size), size
 
     def trim(self) -> None:
         self.older = None
 
 
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    end = np.cumsum(size)
+    shift = np.repeat(start - (end - size), size)
+    return flat[shift + np.arange(len(shift))]
+
+
 #: Two and three bytes of white space above ASCII: rows with any are left to the slower way.
 _PAIRS = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A,)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)))
 
@@ -300,28 +366,33 @@ def slice_ids(encoder: Encoder, raw: np.ndarray, at: np.ndarray) -> list[np.ndar
     at = at - at[0]
     odd = _odd_rows(encoder, raw, at)
     starts, ends, before = word_spans(raw, BLANK, at)
-    h = span_hashes(raw, starts, ends, salt=17)
     if encoder.words_only:
-        kind = np.zeros(len(starts), np.int8)
+        kind = np.zeros(len(starts), np.int64)
     else:  # 0 behind a space, 1 at the beginning, 2 behind a newline
-        kind = np.where(raw[np.maximum(starts - 1, 0)] == 10, 2, 0).astype(np.int8)
+        kind = np.where(raw[np.maximum(starts - 1, 0)] == 10, 2, 0)
         kind[before[:-1][np.diff(before) > 0]] = 1
-        h = h ^ kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = word_hashes(raw, starts, ends, KEY) ^ kind.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h[h == 0] = 1
     even = ~np.repeat(odd, np.diff(before))
     use = np.flatnonzero(even)
-    text = raw.tobytes()
-
-    def encode(places):
-        lead = ("",) if encoder.words_only else ("", HEAD, HEAD)
-        k = use[places]
-        keys = [lead[t] + text[a:b].decode() for t, a, b in zip(kind[k].tolist(), starts[k].tolist(), ends[k].tolist())]
-        got = encoder.encode_pieces(list(dict.fromkeys(keys)))
-        line = encoder.mark_bytes
-        parts = [line + got[w] if t == 2 else got[w] for t, w in zip(kind[k].tolist(), keys)]
-        return np.frombuffer(b"".join(parts), np.uint32), np.array([len(p) // 4 for p in parts], np.int64)
-
-    flat, size = encoder.table.ids(encoder.table.resolve(h[use], encode))
+    text, words = raw.tobytes(), Words(lanes_of(raw), starts, ends - starts, kind)
+    lead = ("",) if encoder.words_only else ("", HEAD, HEAD)
+    line = encoder.mark_bytes
+    flats, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(use), PORTION):
+        own = use[i : i + PORTION]
+
+        def encode(places):
+            k = own[places]  # noqa: B023  called before own changes
+            keys = [lead[t] + text[a:b].decode() for t, a, b in zip(kind[k].tolist(), starts[k].tolist(), ends[k].tolist())]
+            got = encoder.encode_pieces(list(dict.fromkeys(keys)))
+            parts = [line + got[w] if t == 2 else got[w] for t, w in zip(kind[k].tolist(), keys)]
+            return np.frombuffer(b"".join(parts), np.uint32), np.array([len(p) // 4 for p in parts], np.int64)
+
+        part, size = encoder.table.lookup(h[own], words.take(own), encode)
+        flats.append(part)
+        sizes.append(size)
+    flat, size = np.concatenate(flats), np.concatenate(sizes)
     total = np.zeros(len(h) + 1, np.int64)
     total[1:][even] = size
     ends_at = np.cumsum(total)[before]
