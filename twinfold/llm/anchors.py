@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, mix
+from .common import mix
+
+#: Least did of a row without doc_id; ids of documents lie below.
+FIRST_NULL = 3 << 61
 
 #: Anchor rows that are combined at a time.
 FLUSH_ROWS = 600_000
@@ -22,11 +25,13 @@ _ANCHOR = pa.schema([("k", pa.int64()), ("m", pa.bool_()), ("did", pa.int64()),
 
 
 def keyed_texts(docs: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
-    """(did, text, rest): the id with null as the largest value, the text, null as empty, and
-    a struct of other columns. All uses select just these, so that Spark deals the
-    texts out once and reads them again."""
+    """(did, text, rest): the id, the text, null as empty, and a struct of other columns. All
+    uses select just these, so that Spark deals the texts out once and reads them again.
+    Rows without an id would all meet in one place, so they are told apart by their texts:
+    their did is FIRST_NULL or more, all of which rank alike, above every other."""
+    nameless = F.lit(FIRST_NULL) + F.shiftrightunsigned(F.xxhash64("text"), 3)
     return docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("did"),
+        F.coalesce(docs["doc_id"].cast("long"), nameless).alias("did"),
         F.coalesce(docs["text"], F.lit("")).alias("text"),
         F.struct(docs["doc_id"], *[docs[c] for c in rest]).alias("rest"),
     )

@@ -6,17 +6,21 @@ document with a smaller doc_id, every word goes; windows are judged on the input
 Anchors are hashes of GRAM words at positions whose remainder modulo PERIOD is in a
 difference cover: for any two positions some shift below PERIOD brings both into the
 cover, so two equal windows share an aligned anchor. Anchors that stand in two
-documents are extended: the windows that hold one are hashed whole (128 bits), the
-smallest doc_id of each is found, and windows of larger ids are removed.
+documents are extended: the windows that hold one are hashed whole, the smallest doc_id
+of each is found, and windows of larger ids are removed. A window's 128 bits come from
+two hashes of each word, made independently under a key drawn for each run, so neither
+chance nor a text written for the purpose makes two windows meet.
 
 Of equal texts only the smallest doc_id takes part; the others are removed whole if
-they have a window at all. Null texts have no words; a null doc_id counts as the
-largest. Rows with equal doc_id and text are one document. Empty table: empty result.
+they have a window at all. Null texts have no words; a null doc_id counts as larger than
+any other, and as no larger than another null. Rows with equal doc_id are one document for
+each other: their windows remove nothing of one another. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from functools import lru_cache
 
 import numpy as np
@@ -24,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .anchors import ANCHOR_SHAPE, Anchors, copies, covered, keyed_texts, list_slices, shared_places, with_copies
-from .common import BLANK, load, mix, pick, slices, span_hashes, text_buffers, tidy, word_spans
+from .anchors import ANCHOR_SHAPE, FIRST_NULL, Anchors, copies, covered, keyed_texts, list_slices, shared_places, with_copies
+from .common import BLANK, load, mix, pick, run_hashes, slices, text_buffers, tidy, word_hashes, word_spans
 
 WINDOW, PERIOD = 50, 31
 GRAM = WINDOW - PERIOD + 1
@@ -53,12 +57,6 @@ def difference_cover(period: int) -> tuple[int, ...]:
     raise ValueError(period)
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray):
-    """Starts and ends of words, their hashes, the words before each row."""
-    starts, ends, before = word_spans(raw, BLANK, at)
-    return starts, ends, span_hashes(raw, starts, ends), before
-
-
 def cover_positions(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Anchor positions (word numbers in the slice) and the row of each."""
     n = np.diff(before)
@@ -71,17 +69,22 @@ def cover_positions(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, row[p]
 
 
-def _anchor_batches(batches):
-    gathered = Anchors(by_doc=True)
-    for b in batches:
-        raw, at = text_buffers(b.column("text"))
-        did = pick(b.column("did")).to_numpy()
-        for first, last in slices(at):
-            own = at[first : last + 1] - at[first]
-            _, _, h, before = word_hashes(raw[at[first] : at[last]], own)
-            p, row = cover_positions(before)
-            yield from gathered.add(span_hashes(h, p, p + GRAM, salt=GRAM), did[first + row], p - before[row])
-    yield from gathered.flush()
+def _anchor_batches(key: int):
+    def run(batches):
+        gathered = Anchors(by_doc=True)
+        for b in batches:
+            raw, at = text_buffers(b.column("text"))
+            did = pick(b.column("did")).to_numpy()
+            for first, last in slices(at):
+                part = raw[at[first] : at[last]]
+                starts, ends, before = word_spans(part, BLANK, at[first : last + 1] - at[first])
+                p, row = cover_positions(before)
+                if len(p):
+                    h = run_hashes(word_hashes(part, starts, ends, key), GRAM)
+                    yield from gathered.add(h[p], did[first + row], p - before[row])
+        yield from gathered.flush()
+
+    return run
 
 
 _WINDOW_SHAPE = "k1 long, k2 long, m boolean, did long, pos int"
@@ -97,7 +100,7 @@ def _combine_windows(held):
     first = np.ones(len(h1), bool)
     first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     low = did[np.flatnonzero(first)][np.cumsum(first) - 1]
-    m = did > low
+    m = np.minimum(did, FIRST_NULL) > low
     k1 = np.where(m, mix(did.view(np.uint64)), h1).view(np.int64)
     k2 = np.where(m, h1, h2).view(np.int64)
     for i in range(0, len(m), 200_000):
@@ -105,37 +108,43 @@ def _combine_windows(held):
         yield pa.RecordBatch.from_arrays([pa.array(k1[s]), pa.array(k2[s]), pa.array(m[s]), pa.array(did[s]), pa.array(pos[s].astype(np.int32))], schema=_WINDOWS)
 
 
-def _window_batches(batches):
-    held, n = [], 0
-    for b in batches:
-        raw, at = text_buffers(b.column("text"))
-        did = pick(b.column("did")).to_numpy()
-        marks, bound = list_slices(b.column("marks"))
-        for first, last in slices(at):
-            if bound[last] == bound[first]:
-                continue
-            own = at[first : last + 1] - at[first]
-            _, _, h, before = word_hashes(raw[at[first] : at[last]], own)
-            row = np.repeat(np.arange(last - first), np.diff(bound[first : last + 1]))
-            p = marks[bound[first] : bound[last]].astype(np.int64)
-            most = np.diff(before)[row]
-            lo, hi = np.maximum(p - (PERIOD - 1), 0), np.minimum(p, most - WINDOW) + 1
-            ok = lo < hi
-            base = before[row]
-            s = np.flatnonzero(covered(len(h), (lo + base)[ok], (hi + base)[ok]))
-            if len(s):
-                owner = np.searchsorted(before, s, side="right") - 1
-                held.append((span_hashes(h, s, s + WINDOW), span_hashes(h, s, s + WINDOW, salt=9), did[first + owner], s - before[owner]))
-                n += len(s)
-            if n >= 1_000_000:
-                yield from _combine_windows(held)
-                held, n = [], 0
-    if held:
-        yield from _combine_windows(held)
-
-
-def _result_batches(make):
-    """The last pass over the texts; make gives the last column from the kept words."""
+def _window_batches(key: int):
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            raw, at = text_buffers(b.column("text"))
+            did = pick(b.column("did")).to_numpy()
+            marks, bound = list_slices(b.column("marks"))
+            for first, last in slices(at):
+                if bound[last] == bound[first]:
+                    continue
+                part = raw[at[first] : at[last]]
+                starts, ends, before = word_spans(part, BLANK, at[first : last + 1] - at[first])
+                row = np.repeat(np.arange(last - first), np.diff(bound[first : last + 1]))
+                p = marks[bound[first] : bound[last]].astype(np.int64)
+                most = np.diff(before)[row]
+                lo, hi = np.maximum(p - (PERIOD - 1), 0), np.minimum(p, most - WINDOW) + 1
+                ok = lo < hi
+                base = before[row]
+                s = np.flatnonzero(covered(len(starts), (lo + base)[ok], (hi + base)[ok]))
+                if len(s):
+                    owner = np.searchsorted(before, s, side="right") - 1
+                    h1, h2 = (run_hashes(word_hashes(part, starts, ends, k), WINDOW)[s] for k in (key, ~key))
+                    held.append((h1, h2, did[first + owner], s - before[owner]))
+                    n += len(s)
+                if n >= 1_000_000:
+                    yield from _combine_windows(held)
+                    held, n = [], 0
+        if held:
+            yield from _combine_windows(held)
+
+    return run
+
+
+def _result_batches(make, key: int):
+    """The last pass over the texts; make gives the last column from the kept words. Places come
+    by did, which rows may share: each counts where the row has the window's hash (its
+    first half, enough to tell a few rows apart)."""
 
     def run(batches):
         for b in batches:
@@ -146,7 +155,9 @@ def _result_batches(make):
             n_words, n_removed, out = [], [], []
             for first, last in slices(at):
                 part = raw[at[first] : at[last]]
-                starts, ends, h, before = word_hashes(part, at[first : last + 1] - at[first])
+                starts, ends, before = word_spans(part, BLANK, at[first : last + 1] - at[first])
+                some = bound[last] > bound[first]
+                h = run_hashes(word_hashes(part, starts, ends, key), WINDOW) if some else ()
                 for i in range(last - first):
                     a, e = int(before[i]), int(before[i + 1])
                     n, p = e - a, pos[bound[first + i] : bound[first + i + 1]].astype(np.int64)
@@ -156,7 +167,7 @@ def _result_batches(make):
                     elif len(p):
                         own = seen[bound[first + i] : bound[first + i + 1]].view(np.uint64)
                         p, own = p[p + WINDOW <= n], own[p + WINDOW <= n]
-                        p = p[span_hashes(h[a:e], p, p + WINDOW) == own]
+                        p = p[h[a + p] == own]
                         gone = covered(n, p, p + WINDOW)
                     text = raw[at[first + i] : at[first + i + 1]].tobytes()
                     words = text.split()
@@ -170,19 +181,20 @@ def _result_batches(make):
 
 
 def _dedup(docs: DataFrame, make, out: str, rest: tuple[str, ...] = ()) -> DataFrame:
+    key = secrets.randbits(64)
     base = keyed_texts(docs, rest)
     texts = with_copies(base, copies(base))
     own = ["did", "text", "rest"]
-    anchors = texts.where("not copy").select(*own).mapInArrow(tidy(_anchor_batches), ANCHOR_SHAPE)
+    anchors = texts.where("not copy").select(*own).mapInArrow(tidy(_anchor_batches(key)), ANCHOR_SHAPE)
     marks = shared_places(anchors, by_doc=True)
     joined = texts.join(marks.hint("shuffle_hash"), "did").where("not copy").select(*own, "marks")
-    windows = joined.mapInArrow(tidy(_window_batches), _WINDOW_SHAPE)
+    windows = joined.mapInArrow(tidy(_window_batches(key)), _WINDOW_SHAPE)
     low = F.min("did").over(Window.partitionBy("m", "k1", "k2"))
-    gone = windows.withColumn("low", low).where("m or did > low")
+    gone = windows.withColumn("low", low).where(F.col("m") | (F.least("did", F.lit(FIRST_NULL)) > F.col("low")))
     gone = gone.groupBy("did").agg(F.collect_list("pos").alias("pos"), F.collect_list(F.expr("if(m, k2, k1)")).alias("h"))
     last = texts.join(gone.hint("shuffle_hash"), "did", "left").select(*own, "copy", "pos", "h")
     shape = f"rest {base.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, out string"
-    done = last.mapInArrow(tidy(_result_batches(make)), shape)
+    done = last.mapInArrow(tidy(_result_batches(make, key)), shape)
     return done.select("rest.*", "n_words", "n_removed", F.col("out").alias(out))
 
 

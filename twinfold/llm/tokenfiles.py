@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import keyed_texts
-from .common import NULL_ID, cut, load, pick, running_totals, shared_dir, tidy
+from .anchors import FIRST_NULL, keyed_texts
+from .common import cut, load, pick, running_totals, shared_dir, tidy
 from .tokens import encoded, encoder, vocabulary
 
 LENGTH, ROWS, END = 2048, 256, 1
@@ -179,7 +179,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
     tasks = -(-max(1, manifest.count()) // PARTS_READ)
     rows = first.repartition(tasks).mapInArrow(tidy(run), "did long, start long, n_tokens long, ids_crc32 long")
-    return rows.withColumn("doc_id", F.when(F.col("did") < NULL_ID, F.col("did"))).drop("did")
+    return rows.withColumn("doc_id", F.when(F.col("did") < FIRST_NULL, F.col("did"))).drop("did")
 
 
 def op8_arrow_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
