@@ -59,12 +59,13 @@ def test_empty(spark):
     assert suffixes.remove_repeated_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("depth", [8, 9, 16, 23, 40])
-def test_bucket_pointers(depth):
+@pytest.mark.parametrize("portion", [None, 1, 50])
+@pytest.mark.parametrize("depth", [8, 9, 16, 23, 40, 200])
+def test_bucket_pointers(depth, portion):
     rng = np.random.default_rng(depth)
     text = np.concatenate([rng.integers(97, 99, 300), np.full(60, 97), rng.integers(97, 100, 200)]).astype(np.uint8)
-    text = np.concatenate([text, text[100:260]])
-    pointer = suffixes.bucket_pointers(text, depth)
+    text = np.concatenate([text, text[100:320], np.full(250, 97), text[100:320]]).astype(np.uint8)
+    pointer = suffixes.bucket_pointers(text, depth, portion=portion)
     n, raw = len(text) - depth + 1, text.tobytes()
     grams = [raw[k : k + depth] for k in range(n)]
     order = sorted(grams)

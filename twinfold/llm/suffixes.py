@@ -11,9 +11,10 @@ and all is judged on the input.
 2. Suffix sorting. The stretches of whole anchor groups are set one after another and
    sorted by bucket-pointer refinement: positions are put into buckets by their first
    q bytes, a bucket's pointer being its first place in the suffix array; a bucket
-   of several is refined by sorting on the pointers of its members q further on, and the
-   new, deeper pointers are used for the next refinement, up to LENGTH bytes. Starts
-   that share a final bucket are repeats.
+   of several is refined by sorting on the pointers of its members further on, as far as
+   they are known to agree. New pointers are written at once, so the buckets after it in
+   the same pass already use them, and one that leads into a bucket refined before takes
+   over its whole depth. Starts that share LENGTH bytes are repeats.
 
 Groups are sorted where they arise first (before the shuffle) and one stretch of
 each kind goes on, so a passage of a third of all documents sends a few rows from each
@@ -22,7 +23,8 @@ whole (if long enough) and one of them takes part for the others' sake.
 
 Null texts are empty; texts under LENGTH bytes lose nothing. Rows with equal doc_id and
 text are two places. Places belong to a 64-bit hash of doc_id and text, `did` here, so
-different texts of one doc_id (or of none) are apart. Empty table: empty result.
+different texts of one doc_id (or of none) are apart; should two rows of different texts
+ever have one hash, another seed is taken. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import ANCHOR_SHAPE, Anchors, copies, covered, keyed_texts, list_slices, shared_places, with_copies
-from .common import gram_hashes, load, mix, pick, slices, text_buffers, tidy
+from .common import _TAKE, gram_hashes, lanes_of, load, mix, pick, slices, text_buffers, tidy
 
 LENGTH, GRAM = 200, 80
 SPREAD = LENGTH - GRAM + 1
@@ -48,35 +50,69 @@ SORT_BYTES = 2_000_000
 # --- bucket-pointer refinement -------------------------------------------------
 
 
-def bucket_pointers(text: np.ndarray, depth: int, q: int = Q) -> np.ndarray:
-    """For each position the first place in the suffix array of its bucket: positions
-    have equal pointers if their next `depth` bytes are equal (bytes past the end are
-    the same as byte 0 there; callers leave out positions less than depth from the end)."""
+def bucket_pointers(text: np.ndarray, depth: int, q: int = Q, portion: int | None = None) -> np.ndarray:
+    """For each position a number: positions have equal numbers if their next `depth` bytes are
+    equal, and numbers rise with those bytes (bytes past the end are the same as byte 0
+    there; callers leave out positions less than depth from the end)."""
     n = len(text)
-    padded = np.zeros(n + q, np.uint8)
-    padded[:n] = text
-    gram = np.zeros(n, np.uint64)
-    for k in range(q):
-        gram = (gram << np.uint64(8)) | padded[k : k + n]
+    lanes = lanes_of(text)
+    gram = lanes[:n].byteswap() >> np.uint64(64 - 8 * q)  # the first byte weighs most
     order = np.argsort(gram, kind="stable")
-    pointer = np.empty(n, np.int64)
+    pointer, known = np.empty(n, np.int64), np.full(n, q)
     head, size = _heads(gram[order])
     pointer[order] = head
-    member = order[size > 1]  # of buckets that may be refined
-    held = q
-    while held < depth and len(member):
-        step = min(held, depth - held)
-        bucket = pointer[member]
-        later = pointer[np.minimum(member + step, n - 1)]
-        key = (bucket << np.int64(31)) | later
-        o = np.argsort(key, kind="stable")
-        member, bucket, key = member[o], bucket[o], key[o]
-        old, _ = _heads(bucket)
-        new, size = _heads(key)
-        pointer[member] = bucket + (new - old)
-        member = member[size > 1]
-        held += step
-    return pointer
+    pending = order[size > 1]
+    while len(pending):
+        pending = np.concatenate([_refine(part, pointer, known, order, depth) for part in _portions(pending, pointer, portion or max(1 << 14, n // 8))])
+    return _of_depth(lanes, order, pointer, gram, q, depth)
+
+
+def _portions(member: np.ndarray, pointer: np.ndarray, size: int):
+    """Members in portions of whole buckets (which stand next to each other)."""
+    ends = np.append(np.flatnonzero(np.diff(pointer[member])) + 1, len(member))
+    at = 0
+    while at < len(member):
+        end = int(ends[min(np.searchsorted(ends, at + size), len(ends) - 1)])
+        yield member[at:end]
+        at = end
+
+
+def _refine(member: np.ndarray, pointer: np.ndarray, known: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Splits the buckets of some members by the pointers behind what each bucket is known to
+    share, writes the new pointers, depths and places, and returns members that may split further."""
+    n = len(pointer)
+    bucket, ahead = pointer[member], member + known[member]
+    inside = ahead < n
+    ahead = np.minimum(ahead, n - 1)
+    key = (bucket << np.int64(31)) | np.where(inside, pointer[ahead] + 1, 0)
+    gain = np.where(inside, known[ahead], depth)
+    o = np.argsort(key, kind="stable")
+    member, bucket, key, gain = member[o], bucket[o], key[o], gain[o]
+    old, _ = _heads(bucket)
+    new, size = _heads(key)
+    order[bucket + np.arange(len(member)) - old] = member
+    pointer[member] = bucket + (new - old)
+    known[member] += gain
+    return member[(size > 1) & (known[member] < depth)]
+
+
+def _of_depth(lanes: np.ndarray, order: np.ndarray, pointer: np.ndarray, gram: np.ndarray, q: int, depth: int) -> np.ndarray:
+    """Pointers of buckets of exactly `depth` bytes, from buckets that may have been told apart
+    by more: those that follow each other are compared, eight bytes at a time, as long as
+    they agree."""
+    n, k = len(order), q
+    held = gram[order]
+    first = pointer[order] == np.arange(n)
+    left = np.flatnonzero(first[1:] & (held[1:] == held[:-1])) + 1
+    while len(left) and k < depth:
+        a, b = (np.where(order[x] + k < n, lanes[np.minimum(order[x] + k, n)], 0) for x in (left - 1, left))
+        take = _TAKE[min(depth - k, 8)]
+        left, k = left[(a & take) == (b & take)], k + 8
+    first[left] = False
+    heads = np.flatnonzero(first)
+    out = np.empty(n, np.int64)
+    out[order] = heads[np.cumsum(first) - 1]
+    return out
 
 
 def _heads(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,8 +315,19 @@ def _result_batches(make):
     return run
 
 
+def _by_row(base: DataFrame) -> DataFrame:
+    """base with `did` as a hash of id and text that no two different texts share."""
+    seed = 0
+    while True:
+        named = base.withColumn("did", F.xxhash64(F.lit(seed), "did", "text"))
+        texts = named.select("did", F.xxhash64(F.lit(-1), "text").alias("b")).groupBy("did").agg(F.min("b").alias("x"), F.max("b").alias("y"))
+        if texts.where("x <> y").isEmpty():
+            return named
+        seed += 1
+
+
 def _dedup(docs: DataFrame, make, kind: str, out: str, rest: tuple[str, ...] = ()) -> DataFrame:
-    base = keyed_texts(docs, rest).withColumn("did", F.xxhash64("did", "text"))  # rows of one id may have several texts
+    base = _by_row(keyed_texts(docs, rest))
     texts = with_copies(base, copies(base))
     own = ["did", "text", "rest"]
     anchors = texts.where("not copy").select(*own).mapInArrow(tidy(_anchor_batches), ANCHOR_SHAPE)
