@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as pipeline
-from twinfold.llm import neardup
+from twinfold.llm import neardup, simhash
 
 
 def shingles(text):
@@ -47,6 +47,25 @@ def test_against_brute_force(spark):
     assert neardup.keep_one(df.limit(0)).count() == 0
 
 
+def test_small_tiles_and_clashing_names(spark, monkeypatch):
+    """Many tiles give the same rows, and columns of any name come back as they were."""
+    rng = random.Random(6)
+    say = lambda n: ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    texts, rows = [say(rng.randint(5, 90)) for _ in range(12)], []
+    for k in range(300):
+        w = list(rng.choice(texts))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = say(1)[0]
+        rows.append((k, " ".join(w)))
+    names = ("did", "a", "node", "copies", "whole", "root", "n", "f0", "left")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in names])
+    monkeypatch.setattr(simhash, "TILE", 9)
+    monkeypatch.setattr(simhash, "TILE_BYTES", 4000)
+    got = neardup.keep_one(df).collect()
+    assert sorted(r.doc_id for r in got) == brute(rows)
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got for c in names) and got[0].asDict().keys() == {"doc_id", "text", *names}
+
+
 def test_stage_drops_the_planted_near_copy(spark):
     rng = random.Random(5)
     say = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n))

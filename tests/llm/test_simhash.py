@@ -51,14 +51,6 @@ def test_against_brute_force(spark):
     assert got == sorted(((d, f, c) for (d, _), f, c in zip(rows, fp, roots)), key=str)
 
 
-def test_keep_one(spark):
-    rows = corpus()
-    _, roots = slow_components(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((r.doc_id for r in simhash.keep_one(df).collect()), key=str)
-    assert got == sorted(set(roots), key=str)
-
-
 def test_small_tiles(spark, monkeypatch):
     """Several tiles for a count give the same links."""
     rng = random.Random(1)
@@ -88,4 +80,3 @@ def test_majority(n):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
-    assert simhash.keep_one(empty).count() == 0

@@ -1,35 +1,44 @@
-"""Near copies by shingles: texts of which the sets of 5-word shingles have a Jaccard
-similarity of 0.8 or more are linked, and linked texts form components.
-
-Words are those of simhash: `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. Texts of one
-to four words are one shingle; texts without words are equal to each other.
-
-The search is exact. In any one order of all shingles, two sets of similarity 0.8 share a
-shingle among the first n // 5 + 1 of each, so only these prefixes are dealt out, by
-shingle. Shingles that are frequent in a sample come last in the order: that changes how many
-candidates there are, not which pairs are found. Texts with equal sets take part once.
-Candidates are compared by their whole sets: first each with a few texts of its
-shingle's group, then those of the group that are not yet in one component with each other.
-
-Null text has no words. A null doc_id counts as the largest; equal rows fall together.
+"""SimHash near-dedup of whole rows: one row of each group of near copies stays.
+
+Near copies share 0.8 or more (Jaccard) of their distinct WORDS-word shingles. Words are
+those of simhash: `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; texts of one to four words
+are one shingle; texts without words are equal to each other.
+
+1. Every set of shingles gets a fingerprint of 256 bits, each the majority of that bit in
+   the shingles' hashes; texts with equal sets are one.
+2. Fingerprints are compared in tiles, as in simhash: tiles and sub-tiles whose population
+   counts differ beyond the radius, or whose set sizes rule 0.8 out, are skipped, the rest
+   goes through exclusive-or and bit counts. Two sets of similarity 0.8 differ in 15 % of
+   their bits; pairs within NEAR of the first 128 bits and WITHIN of all go on, which leaves
+   out about one such pair in 100,000 (of sets of 4 or 5 shingles one in 500).
+3. Only sets that have such a partner are compared again, tile by tile, now with the
+   shingles at hand: pairs that are not yet of one group are checked exactly. A pair of
+   tiles sends the stars of its groups, never all pairs.
+
+The comparison of tiles is quadratic in the number of sets of like size, as the method is.
+Shingles and sets are told apart by 64-bit hashes.
+
+Null text has no words. Of a group the row of smallest doc_id stays; a null doc_id counts
+as the largest; among equal ids one row stays. Columns may have any names. Empty table:
+empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, NULL_ID, components, cut, mix, pick, slices, span_hashes, text_buffers, tidy, word_spans
+from .common import BLANK, NULL_ID, components, cut, mix, pick, run_hashes, slices, text_buffers, tidy, word_hashes, word_spans
+from .simhash import PAIR, Forest, Side, dealt_pairs, majority_bits, near_blocks, per_pair
 
 WORDS = 5
-#: Texts that the order of shingles is taken from, and the shingles that it puts last.
-ORDER_TEXTS, ORDER_SHINGLES = 8_000, 100_000
-#: Texts of a shingle's group that all others of it are compared with first.
-HUBS = 4
-#: Bits that tell most pairs apart before whole sets are compared.
-BITS = 2048
+#: Bits in which the first 128 and all 256 bits of two fingerprints may differ.
+NEAR, WITHIN = 38, 70
+LANES = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -41,251 +50,175 @@ def similar(n, m, both):
 
 
 def shingle_sets(column: pa.Array):
-    """For slices of the rows: first row, the sorted distinct shingle hashes of all its
-    rows one after another, and the bounds of each row."""
+    """For slices of the rows: the sorted distinct shingle hashes of all its rows one after
+    another, and the bounds of each row."""
     raw, at = text_buffers(column)
     for first, last in slices(at):
         part, own = _LOWER[raw[at[first] : at[last]]], at[first : last + 1] - at[first]
         starts, ends, bound = word_spans(part, BLANK, own)
-        words, size = span_hashes(part, starts, ends), np.diff(bound)
+        words, size = word_hashes(part, starts, ends), np.diff(bound)
         each = np.where(size >= WORDS, size - WORDS + 1, np.minimum(size, 1))
         row = np.repeat(np.arange(last - first), each)
         a = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + bound[:-1][row]
-        h = span_hashes(words, a, np.minimum(a + WORDS, bound[1:][row]))
+        h = np.zeros(len(a), np.uint64)
+        for n in range(1, WORDS + 1):
+            mine = (np.minimum(size, WORDS) == n)[row]
+            if mine.any():
+                h[mine] = run_hashes(words, n)[a[mine]]
         o = np.lexsort((h, row))
         h, row = h[o], row[o]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
         h, row = h[new], row[new]
-        yield first, h, np.searchsorted(row, np.arange(last - first + 1))
+        yield h, np.searchsorted(row, np.arange(last - first + 1))
 
 
-def _classes(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+def set_names(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One value for each set; equal sets have equal values."""
-    return span_hashes(h, at[:-1], at[1:]).view(np.int64)
+    size = np.diff(at)
+    if not len(h):
+        return size
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h + np.uint64(1)), out=total[1:])
+    return mix(total[at[1:]] - total[at[:-1]] + size.astype(np.uint64)).view(np.int64)
 
 
-def _class_batches(batches):
-    for b in batches:
-        got = [_classes(h, at) for _, h, at in shingle_sets(b.column("text"))]
-        cls = np.concatenate([*got, np.zeros(0, np.int64)])
-        yield pa.RecordBatch.from_arrays([pick(b.column("_did")), pick(b.column("_a")), pa.array(cls)], ["_did", "_a", "cls"])
+def fingerprints(h: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """LANES times 64 bits for each set."""
+    return [majority_bits(mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)), size).view(np.int64) for k in range(LANES)]
 
 
-def _shingle_batches(batches):
-    for b in batches:
-        for _, h, _ in shingle_sets(b.column("text")):
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["k"])
-
-
-def _prefix_batches(last: np.ndarray, rank: np.ndarray):
-    """last: the shingles that come last, sorted; rank: their places in the order."""
-
-    def run(batches):
-        seen: set[int] = set()
-        for b in batches:
-            for _, h, at in shingle_sets(b.column("text")):
-                cls, size = _classes(h, at), np.diff(at)
-                fresh = np.zeros(len(cls), bool)
-                for i, c in enumerate(cls.tolist()):
-                    if c not in seen and size[i]:
-                        fresh[i] = True
-                        seen.add(c)
-                if len(seen) > 300_000:
-                    seen.clear()
-                row = np.repeat(np.arange(len(size)), size)
-                place = np.zeros(len(h), np.int64)
-                if len(last):
-                    p = np.minimum(np.searchsorted(last, h), len(last) - 1)
-                    place = np.where(last[p] == h, rank[p], 0)
-                o = np.lexsort((h, place, row))
-                nth = np.arange(len(h)) - at[:-1][row]
-                use = (nth <= size[row] // WORDS) & fresh[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[o][use].view(np.int64)), pa.array(cls[row[use]]), pa.array(size[row[use]].astype(np.int32))], ["k", "cls", "n"]
-                )
-
-    return run
-
-
-def _whole_groups(batches, names: list[str]):
-    """Rows come sorted by the first name: columns of whole groups, rows that are equal
-    in the first two being one, and where each group begins."""
-    held = None
-    for b in batches:
-        new = [pick(b.column(c)).to_numpy(zero_copy_only=False) for c in names]
-        if not len(new[0]):
-            continue
-        cols = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-        cols = _distinct(cols)
-        cut_at = int(np.searchsorted(cols[0], cols[0][-1]))
-        held = [c[cut_at:] for c in cols]
-        if cut_at:
-            yield _begin([c[:cut_at] for c in cols])
-    if held is not None:
-        yield _begin(held)
-
-
-def _distinct(cols):
-    o = np.lexsort((cols[1], cols[0]))
-    cols = [c[o] for c in cols]
-    new = np.ones(len(o), bool)
-    new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-    return [c[new] for c in cols]
-
-
-def _begin(cols):
-    new = np.ones(len(cols[0]), bool)
-    new[1:] = cols[0][1:] != cols[0][:-1]
-    return cols, np.flatnonzero(new)
-
-
-def _shared_batches(batches):
-    """Rows of shingles that several classes have, with up to HUBS classes of the group that
-    may be similar by size."""
-    for (k, cls, n), head in _whole_groups(batches, ["k", "cls", "n"]):
-        size = np.diff(np.append(head, len(k)))
-        group = np.repeat(np.arange(len(head)), size)
-        use = np.flatnonzero(np.repeat(size > 1, size))
-        hubs, fits = [], []
-        for j in range(HUBS):
-            first = np.lexsort((mix(cls.view(np.uint64) + np.uint64(j)), group))[head]
-            hub = first[group[use]]
-            least, most = np.minimum(n[use], n[hub]), np.maximum(n[use], n[hub])
-            hubs.append(cls[hub])
-            fits.append((cls[use] != cls[hub]) & similar(least, most, least))
-        fit = np.stack(fits, 1)
-        bound = np.concatenate([[0], np.cumsum(fit.sum(1))]).astype(np.int32)
-        held = pa.ListArray.from_arrays(pa.array(bound), pa.array(np.stack(hubs, 1)[fit]))
-        yield pa.RecordBatch.from_arrays([pa.array(k[use]), pa.array(cls[use]), pa.array(n[use]), held], ["k", "cls", "n", "hubs"])
-
-
-def _pair_batches(batches):
-    """Pairs of each group that may be similar by size and parity (see _hopeful_batches) and
-    are of different roots."""
-    done: set[tuple[int, int]] = set()
-    out: list[tuple[int, int]] = []
-    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    for (k, cls, n, root, bits), head in _whole_groups(batches, ["k", "cls", "n", "root", "bits"]):
-        for s, e in zip(head.tolist(), np.append(head[1:], len(k)).tolist()):
-            if (root[s:e] == root[s]).all():
-                continue
-            own = np.frombuffer(b"".join(bits[s:e]), np.uint64).reshape(-1, BITS // 64)
-            for i in range(s, e - 1):
-                least, most = np.minimum(n[i], n[i + 1 : e]), np.maximum(n[i], n[i + 1 : e])
-                may = (root[i + 1 : e] != root[i]) & similar(least, most, least)
-                at = np.flatnonzero(may) + i + 1
-                apart = np.bitwise_count(own[at - s] ^ own[i - s]).sum(axis=1, dtype=np.int64)
-                at = at[9 * apart <= n[at].astype(np.int64) + n[i]]
-                for b in cls[at].tolist():
-                    pair = (int(cls[i]), b)
-                    if pair not in done:
-                        done.add(pair)
-                        out.append(pair)
-                if len(done) > 500_000:
-                    done.clear()
-                if len(out) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=shape)
-                    out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=shape)
+_MARKED = "did long, a long, node long, n int, " + ", ".join(f"f{k} long" for k in range(LANES))
+_BITS = [f"f{k}" for k in range(LANES)]
 
 
-def _set_batches(batches):
-    """For each class the size of its set, the parity of its shingles in BITS classes of
-    hashes, and the set."""
-    seen: set[int] = set()
-    for b in batches:
-        cls = pick(b.column("cls")).to_numpy()
-        for first, h, at in shingle_sets(b.column("text")):
-            fresh = []
-            for i, c in enumerate(cls[first : first + len(at) - 1].tolist()):
-                if c not in seen:
-                    seen.add(c)
-                    fresh.append(i)
-            row, bit = np.repeat(np.arange(len(at) - 1), np.diff(at)), h & np.uint64(BITS - 1)
-            parity = np.zeros((len(at) - 1, BITS // 64), np.uint64)
-            np.bitwise_xor.at(parity, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-            n = np.diff(at)[fresh].astype(np.int32)
-            sets = [h[at[i] : at[i + 1]].tobytes() for i in fresh]
-            bits = [parity[i].tobytes() for i in fresh]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cls[first + np.array(fresh, np.int64)]), pa.array(n), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], ["cls", "n", "bits", "held"]
-            )
-
-
-def _hopeful_batches(batches):
-    """Pairs that may be similar: sets differ in at least as many shingles as their parities
-    in bits, and of n + m shingles at most a ninth may differ."""
+def _mark_batches(batches):
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in "xy")
-        n, m = (pick(b.column(c)).to_numpy().astype(np.int64) for c in "nm")
-        good = pa.array(9 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n + m)
-        yield pa.RecordBatch.from_arrays([pick(b.column(c)).filter(good) for c in "ab"], ["a", "b"])
+        parts = [(set_names(h, at), np.diff(at), *fingerprints(h, np.diff(at))) for h, at in shingle_sets(b.column("text"))]
+        if parts:
+            node, n, *bits = (np.concatenate(x) for x in zip(*parts))
+            columns = [pick(b.column("did")), pick(b.column("a")), pa.array(node), pa.array(n.astype(np.int32)), *map(pa.array, bits)]
+            yield pa.RecordBatch.from_arrays(columns, ["did", "a", "node", "n", *_BITS])
 
 
-def _link_batches(batches):
+def _set_batches(batches):
+    seen: set[int] = set()
     for b in batches:
-        x, y = pick(b.column("x")), pick(b.column("y"))
-        good = np.zeros(b.num_rows, bool)
-        for i in range(b.num_rows):
-            p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-            good[i] = similar(len(p), len(q), len(np.intersect1d(p, q, assume_unique=True)))
-        yield pa.RecordBatch.from_arrays([pick(b.column(c)).filter(pa.array(good)) for c in "ab"], ["a", "b"])
-
-
-def _roots(edges: DataFrame) -> DataFrame:
-    return components(edges).withColumnRenamed("node", "cls")
-
-
-def _order(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that are frequent in a repeatable sample of texts, and their places."""
-    n = texts.count()
-    part = texts.where(F.pmod(F.xxhash64("_did", F.lit("order")), F.lit(max(1, n // ORDER_TEXTS))) == 0)
-    counts = part.select("text").mapInArrow(tidy(_shingle_batches), "k long").groupBy("k").count().where("count > 3")
-    rows = counts.orderBy(F.desc("count"), "k").limit(ORDER_SHINGLES).toArrow()
-    k, count = rows.column("k").to_numpy().view(np.uint64), rows.column("count").to_numpy()
-    o = np.argsort(k)
-    return k[o], count[o].astype(np.int64)
+        node, first = pick(b.column("node")).to_numpy(), 0
+        for h, at in shingle_sets(b.column("text")):
+            rows = []
+            for i in range(len(at) - 1):
+                if (name := int(node[first + i])) not in seen:
+                    seen.add(name)
+                    rows.append(i)
+            if len(seen) > 300_000:
+                seen.clear()
+            held = pa.array([h[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(node[first : first + len(at) - 1][rows]), held], ["node", "held"])
+            first += len(at) - 1
+
+
+def _sides(x: pa.Table, y: pa.Table | None):
+    numbers = lambda t, c: t.column(c).to_numpy()
+    base, out = 0, []
+    for t in (x, y):
+        if t is not None:
+            fp = np.stack([numbers(t, c) for c in _BITS[:2]], 1).view(np.uint64)
+            out.append(Side(fp, base, numbers(t, "n").astype(np.int64)))
+            base += len(t)
+    both = [t for t in (x, y) if t is not None]
+    whole = [np.concatenate([numbers(t, c) for t in both]).view(np.uint64) for c in _BITS]
+    node, n = (np.concatenate([numbers(t, c) for t in both]) for c in ("node", "n"))
+    return out[0], out[-1], whole, node, n.astype(np.int64)
+
+
+def _pairs(x: Side, y: Side, whole, n: np.ndarray, same: bool, wanted=None):
+    """Rows of near pairs: one number and those that it may be similar to. wanted(i, j): which
+    pairs of a block still matter."""
+    for i, j, near in near_blocks(x, y, NEAR, same):
+        if wanted is not None:
+            near &= wanted(i, j)
+        for u in np.flatnonzero(near.any(axis=1)):
+            p, q = int(i[u]), j[near[u]]
+            apart = sum(np.bitwise_count(w[p] ^ w[q]).astype(np.int64) for w in whole)
+            q = q[(apart <= WITHIN) & similar(np.minimum(n[p], n[q]), np.maximum(n[p], n[q]), np.minimum(n[p], n[q]))]
+            if len(q):
+                yield p, q
+
+
+def _partners(x: pa.Table, y: pa.Table | None) -> pa.Table:
+    """Nodes with a partner in the other tile (or this one)."""
+    if not len(x):
+        return pa.table({"node": pa.array([], pa.int64())})
+    left, right, whole, node, n = _sides(x, y)
+    has = np.zeros(len(node), bool)
+    open_pair = lambda i, j: ~(has[i][:, None] & has[j][None, :])
+    for p, q in _pairs(left, right, whole, n, y is None, open_pair):
+        has[p] = has[q] = True
+    return pa.table({"node": node[has]})
+
+
+def _groups(x: pa.Table, y: pa.Table | None) -> pa.Table:
+    """Stars of the groups that the similar pairs of two tiles make."""
+    if not len(x):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    left, right, whole, node, n = _sides(x, y)
+    held = [h for t in (x, y) if t is not None for h in t.column("held").to_pylist()]
+    forest = Forest(len(node))
+
+    def shingles(k: int) -> np.ndarray:
+        return np.frombuffer(held[k], np.uint64)
+
+    apart = lambda i, j: forest.roots(i)[:, None] != forest.roots(j)[None, :]
+    for p, q in _pairs(left, right, whole, n, y is None, apart):
+        own = shingles(p)
+        while True:
+            q = q[forest.roots(q) != forest.roots(np.array([p]))[0]]  # a row may have been joined meanwhile
+            if not len(q):
+                break
+            now, q = q[:64], q[64:]
+            each = n[now]
+            every = np.concatenate([shingles(k) for k in now.tolist()])
+            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            both = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(each) - each)
+            good = now[similar(n[p], each, both)]
+            if len(good):
+                forest.join(forest.roots(np.append(good, p)))
+    a, b = forest.stars(node)
+    return pa.table({"a": a, "b": b})
+
+
+def _dealt(rows: DataFrame, held: bool = False) -> DataFrame:
+    """Tiles of sets of like size (a class spans a ratio of 5 to 4, so only neighbours can be
+    similar) and like population count of the first 128 bits."""
+    p = F.floor((F.bit_count("f0") + F.bit_count("f1")) / (NEAR + 1))
+    s = F.floor(F.log("n") / math.log(1.25)) + 1
+    return dealt_pairs(rows, p, s, 1, F.octet_length("held") if held else None)
 
 
 def links(texts: DataFrame, marked: DataFrame) -> DataFrame:
-    """Links (a, b) between classes, enough to connect each component. texts: _did, _a, text;
-    marked: _did, _a, cls."""
-    held = texts.select("text").mapInArrow(tidy(_prefix_batches(*_order(texts))), "k long, cls long, n int")
-    met = held.repartition("k").sortWithinPartitions("k")
-    shared = cut(met.mapInArrow(tidy(_shared_batches), "k long, cls long, n int, hubs array<long>"))
-    low = marked.groupBy("cls").agg(F.min(F.struct("_did", "_a")).alias("r"))
-    need = low.join(shared.select("cls").distinct(), "cls").select("cls", "r._did", "r._a")
-    rows = texts.join(need.hint("shuffle_hash"), ["_did", "_a"]).select("cls", "text")
-    sets = cut(rows.mapInArrow(tidy(_set_batches), "cls long, n int, bits binary, held binary"))
-
-    def joined(pairs: DataFrame, what: str, *size: str) -> DataFrame:
-        one = sets.select(F.col("cls").alias("a"), F.col(what).alias("x"), *[F.col(c).alias("n") for c in size])
-        two = sets.select(F.col("cls").alias("b"), F.col(what).alias("y"), *[F.col(c).alias("m") for c in size])
-        return pairs.join(one, "a").join(two, "b")
-
-    def compared(hopeful: DataFrame) -> DataFrame:
-        return cut(joined(hopeful, "held").mapInArrow(tidy(_link_batches), "a long, b long"), narrow=True)
-
-    near = shared.select("cls", F.explode("hubs").alias("hub"))
-    near = near.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    star = compared(joined(near, "bits", "n").mapInArrow(tidy(_hopeful_batches), "a long, b long"))
-    known = shared.select("k", "cls", "n").join(_roots(star), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    known = known.join(sets.select("cls", "bits"), "cls").select("k", "cls", "n", "root", "bits")
-    apart = known.repartition("k").sortWithinPartitions("k").mapInArrow(tidy(_pair_batches), "a long, b long").distinct()
-    return star.unionByName(compared(apart))
+    """Links (a, b) between nodes, enough to connect each group. texts: did, a, text."""
+    first = F.min_by(F.struct("did", "a", "n", *_BITS), F.struct("did", "a"))
+    nodes = cut(marked.where("n > 0").groupBy("node").agg(first.alias("r")).select("node", "r.*"), narrow=True)
+    own = nodes.select("node", "n", *_BITS)
+    partners = cut(_dealt(own).groupBy(*PAIR).applyInArrow(per_pair(_partners), "node long").distinct(), narrow=True)
+    need = nodes.join(partners, "node")
+    rows = texts.join(need.select("did", "a", "node").hint("shuffle_hash"), ["did", "a"]).select("node", "text")
+    sets = rows.mapInArrow(tidy(_set_batches), "node long, held binary")
+    held = cut(need.select("node", "n", *_BITS).join(sets, "node"))
+    return _dealt(held, True).groupBy(*PAIR).applyInArrow(per_pair(_groups), "a long, b long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one of smallest doc_id."""
-    base = docs.withColumn("_did", F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))).withColumn("_a", F.xxhash64(docs["text"]))
-    texts = base.select("_did", "_a", "text")
-    marked = cut(texts.mapInArrow(tidy(_class_batches), "_did long, _a long, cls long"))
-    named = marked.join(_roots(links(texts, marked)), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    best = named.groupBy("root").agg(F.min(F.struct("_did", "_a")).alias("k"))
-    rows = marked.groupBy("_did", "_a").agg(F.count(F.lit(1)).alias("_n"))
-    stay = best.select("k._did", "k._a").join(rows, ["_did", "_a"])
-    kept = base.join(stay.hint("shuffle_hash"), ["_did", "_a"])
-    once = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(["_did", "_a"]))
-    return once.select(*docs.columns)
+    """The rows of docs that stay: of each group the one of smallest doc_id."""
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("whole")
+    base = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(docs["text"]).alias("a"), whole)
+    texts = base.select("did", "a", F.col("whole.text").alias("text"))
+    marked = cut(texts.mapInArrow(tidy(_mark_batches), _MARKED))
+    named = marked.select("did", "a", "node").join(components(links(texts, marked)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = named.groupBy("root").agg(F.min(F.struct("did", "a")).alias("k"))
+    rows = marked.groupBy("did", "a").agg(F.count(F.lit(1)).alias("copies"))
+    stay = best.select("k.did", "k.a").join(rows, ["did", "a"])
+    kept = base.join(stay.hint("shuffle_hash"), ["did", "a"])
+    once = kept.where("copies = 1").unionByName(kept.where("copies > 1").dropDuplicates(["did", "a"]))
+    return once.select("whole.*")

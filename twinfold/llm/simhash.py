@@ -15,12 +15,16 @@ bit counts. A pair of tiles gives stars of its components, not all links, so a l
 group of near copies gives few rows.
 
 Null text has no words. A null doc_id counts as the largest; equal rows fall together.
+
+What the tiles need (sides, blocks, pairs of tiles) also serves neardup, whose fingerprints
+are wider and whose links are checked against the shingles.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +35,8 @@ RADIUS = 3
 SEED = 42
 #: Fingerprints of a tile, about, and of a sub-tile.
 TILE, SUB = 131_072, 256
+#: Bytes of a tile that carries more than fingerprints.
+TILE_BYTES = 16_000_000
 
 
 def shingle_hashes(text: str) -> list[int]:
@@ -74,14 +80,15 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def fingerprint_column(texts: list[str | None]) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
-    held, sizes, first = [], [], 0
+    held, sizes, first, n = [], [], 0, 0
     for i, t in enumerate(texts):
         own = shingle_hashes(t or "")
         held.append(np.array(own, np.uint64))
         sizes.append(len(own))
-        if sum(sizes) > 500_000 or i + 1 == len(texts):
+        n += len(own)
+        if n > 500_000 or i + 1 == len(texts):
             out[first : i + 1] = majority_bits(np.concatenate(held), np.array(sizes))
-            held, sizes, first = [], [], i + 1
+            held, sizes, first, n = [], [], i + 1, 0
     return out
 
 
@@ -98,84 +105,155 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     return frame.mapInArrow(tidy(run), f"{shape}, fp long")
 
 
+# --- tiles ------------------------------------------------------------------------
+
+
+class Forest:
+    """Which numbers have been joined; asked for many of them at a time."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        r = self.up[x]
+        while True:
+            next_up = self.up[r]
+            if (next_up == r).all():
+                self.up[x] = r
+                return r
+            r = next_up
+
+    def join(self, roots: np.ndarray) -> None:
+        self.up[roots] = roots.min()
+
+    def stars(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, smallest value of its group), where the two differ; signed."""
+        label, value = self.roots(np.arange(len(self.up))), value.view(np.int64)
+        o = np.lexsort((value, label))
+        first = np.ones(len(o), bool)
+        first[1:] = label[o][1:] != label[o][:-1]
+        low = value[o][np.flatnonzero(first)][np.cumsum(first) - 1]
+        return value[o][~first], low[~first]
+
+
 def _byte_counts(fp: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[:, None].view(np.uint8).reshape(-1, 8)).astype(np.int8)
+    return np.bitwise_count(np.ascontiguousarray(fp).view(np.uint8)).astype(np.int8)
+
+
+class Side:
+    """The fingerprints of a tile, (n, lanes), in an order that keeps like ones together: by set
+    size if there is one, by the population counts of their bytes. base: number of the first."""
+
+    def __init__(self, fp: np.ndarray, base: int, size: np.ndarray | None = None):
+        counts = _byte_counts(fp)
+        o = np.lexsort(counts.T[::-1] if size is None else (*counts.T[::-1], size))
+        self.fp, self.own, counts = fp[o], o + base, counts[o]
+        self.cuts = np.arange(0, len(fp), SUB)
+        reduced = lambda f, x: f.reduceat(x, self.cuts, axis=0).astype(np.int64)
+        self.low, self.high = reduced(np.minimum, counts), reduced(np.maximum, counts)
+        size = np.zeros(len(fp)) if size is None else size[o]
+        self.least, self.most = reduced(np.minimum, size), reduced(np.maximum, size)
+
+
+def near_blocks(x: Side, y: Side, radius: int, same: bool):
+    """Blocks of sub-tiles that may hold links: numbers of rows and columns, and which pairs are
+    within the radius. Sub-tiles are skipped if the population counts of their bytes, or their
+    set sizes, are too far apart."""
+    for k, s in enumerate(x.cuts):
+        gap = np.maximum(0, np.maximum(x.low[k] - y.high, y.low - x.high[k])).sum(axis=1)
+        fits = (gap <= radius) & (5 * x.most[k] >= 4 * y.least) & (5 * y.most >= 4 * x.least[k])
+        a = x.fp[s : s + SUB]
+        for j in np.flatnonzero(fits):
+            if same and j < k:
+                continue
+            b = y.fp[y.cuts[j] : y.cuts[j] + SUB]
+            d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+            for lane in range(1, a.shape[1]):
+                d += np.bitwise_count(a[:, None, lane] ^ b[None, :, lane])  # at most 192 with three lanes
+            near = d <= radius
+            if same and j == k:
+                near &= ~np.eye(len(a), len(b), dtype=bool)
+            if near.any():
+                yield x.own[s : s + SUB], y.own[y.cuts[j] : y.cuts[j] + SUB], near
 
 
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Stars with the components that the links between two tiles (or within one) make:
     (value, smallest value of its component), signed."""
     nodes = a if same else np.concatenate([a, b])
-    label = np.arange(len(nodes))
-
-    def ordered(x: np.ndarray, base: int):
-        c = _byte_counts(x)
-        o = np.lexsort(c.T[::-1])
-        x, c = x[o], c[o]
-        cuts = np.arange(0, len(x), SUB)
-        return x, o + base, cuts, np.minimum.reduceat(c, cuts, axis=0).astype(np.int16), np.maximum.reduceat(c, cuts, axis=0).astype(np.int16)
-
-    xa, ia, ca, la, ha = ordered(a, 0)
-    xb, ib, cb, lb, hb = (xa, ia, ca, la, ha) if same else ordered(b, len(a))
-    for k, s in enumerate(ca):
-        gap = np.maximum(0, np.maximum(la[k] - hb, lb - ha[k])).sum(axis=1)
-        for j in np.flatnonzero(gap <= radius):
-            if same and j < k:
-                continue
-            d = np.bitwise_count(xa[s : s + SUB, None] ^ xb[None, cb[j] : cb[j] + SUB])
-            near = d <= radius
-            for u in np.flatnonzero(near.any(axis=1)):
-                found = np.unique(label[np.append(ib[cb[j] + np.flatnonzero(near[u])], ia[s + u])])
-                if len(found) > 1:
-                    label[np.isin(label, found)] = found[0]
-    # the smallest value of each group stands for it
-    value = nodes.view(np.int64)
-    o = np.lexsort((value, label))
-    first = np.ones(len(o), bool)
-    first[1:] = label[o][1:] != label[o][:-1]
-    low = value[o][np.flatnonzero(first)][np.cumsum(first) - 1]
-    return value[o][~first], low[~first]
+    forest, x = Forest(len(nodes)), Side(a[:, None], 0)
+    for i, j, near in near_blocks(x, x if same else Side(b[:, None], len(a)), radius, same):
+        ri, rj = forest.roots(i), forest.roots(j)
+        near &= ri[:, None] != rj[None, :]
+        while near.any():  # of each row that still leads elsewhere its first link
+            u = np.flatnonzero(near.any(axis=1))
+            for p, q in zip(i[u].tolist(), j[near[u].argmax(axis=1)].tolist()):
+                forest.join(forest.roots(np.array([p, q])))
+            ri, rj = forest.roots(i), forest.roots(j)
+            near &= ri[:, None] != rj[None, :]
+    return forest.stars(nodes)
+
+
+# --- tile pairs ---------------------------------------------------------------------
+
+
+def dealt_pairs(rows: DataFrame, p, s, reach: int, bytes_of=None) -> DataFrame:
+    """rows, each given to every pair of tiles that its own tile is part of: (x1, t1) below
+    (x2, t2), or the same, and whether it stands on the left. A tile holds rows of one class:
+    p, of which classes up to `reach` apart are paired, and s, of which neighbours are.
+    Classes of more than TILE rows (or TILE_BYTES, by bytes_of) have several tiles, by hash."""
+    wide = 1 << 10  # more than there are values of s
+    base = rows.withColumn("x", (p * wide + s).cast("int"))
+    size = F.sum(bytes_of if bytes_of is not None else F.lit(0)).alias("b")
+    sizes = base.groupBy("x").agg(F.count(F.lit(1)).alias("n"), size).collect()  # as few as there are classes
+    if not sizes:
+        return base.select("*", *[F.lit(0).alias(c) for c in ("x1", "t1", "x2", "t2")], F.lit(True).alias("left"))
+    parts = {r["x"]: max(1, -(-r["n"] // TILE), -(-(r["b"] or 0) // TILE_BYTES)) for r in sizes}
+    table = F.create_map(*[F.lit(int(v)) for k, n in parts.items() for v in (k, n)])
+    base = base.withColumn("t", F.pmod(F.xxhash64("node"), table[F.col("x")]).cast("int"))
+    near = [dp * wide + ds for dp in range(-reach, reach + 1) for ds in (-1, 0, 1)]
+    own = F.struct(F.col("x").alias("x"), F.col("t").alias("t"))
+    met = F.flatten(F.transform(
+        F.filter(F.transform(F.array(*map(F.lit, near)), lambda d: F.col("x") + d), lambda q: F.try_element_at(table, q).isNotNull()),
+        lambda q: F.transform(F.sequence(F.lit(0), F.try_element_at(table, q) - 1), lambda k: F.struct(q.alias("x"), k.alias("t"))),
+    ))
+    pair = lambda o: F.struct(F.least(own, o).alias("u"), F.greatest(own, o).alias("v"), (own <= o).alias("left"))
+    out = base.withColumn("pair", F.explode(F.transform(met, pair)))
+    names = [F.col("pair.u.x").alias("x1"), F.col("pair.u.t").alias("t1"), F.col("pair.v.x").alias("x2"), F.col("pair.v.t").alias("t2")]
+    return out.select(*rows.columns, *names, F.col("pair.left").alias("left"))
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints `fp`, enough to connect each component."""
-    count = F.bit_count("fp").cast("int")
-    base = distinct.select("fp", count.alias("p"))
-    sizes = {r["p"]: r["count"] for r in base.groupBy("p").count().collect()}  # 65 at most
-    parts = {p: max(1, -(-n // TILE)) for p, n in sizes.items()}
-    table = F.create_map(*[F.lit(x) for p, n in (parts or {0: 1}).items() for x in (p, n)])
-    base = base.withColumn("t", F.pmod(F.xxhash64("fp"), table[F.col("p")]).cast("int"))
-    # each tile goes to every pair it is part of: (p, t) below (p2, t2)
-    pairs = F.flatten(F.transform(
-        F.sequence(F.col("p") - radius, F.col("p") + radius),
-        lambda q: F.transform(
-            F.sequence(F.lit(0), F.coalesce(F.try_element_at(table, q), F.lit(1)) - 1),
-            lambda k: F.when(
-                (q > F.col("p")) | ((q == F.col("p")) & (k >= F.col("t"))),
-                F.struct(F.col("p").alias("p1"), F.col("t").alias("t1"), q.alias("p2"), k.alias("t2"), F.lit(True).alias("left")),
-            ).otherwise(F.struct(q.alias("p1"), k.alias("t1"), F.col("p").alias("p2"), F.col("t").alias("t2"), F.lit(False).alias("left"))),
-        ),
-    ))
-    # pairs with a count that no fingerprint has cannot link
-    dealt = base.select("fp", F.explode(pairs).alias("x")).select("fp", "x.*")
-    if sizes:
-        dealt = dealt.where(F.col("p1").isin(list(sizes)) & F.col("p2").isin(list(sizes)))
+PAIR = ("x1", "t1", "x2", "t2")
 
-    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+def per_pair(run):
+    """run(left table, right table or None) for the rows of a tile pair."""
 
     def compare(t: pa.Table) -> pa.Table:
-        p1, t1, p2, t2 = (t.column(c)[0].as_py() for c in ("p1", "t1", "p2", "t2"))
-        fp = t.column("fp").to_numpy().view(np.uint64)
-        side = t.column("left").to_numpy()
-        if (p1, t1) == (p2, t2):
-            x, y = tile_links(fp, fp, radius, True)
-        elif side.all() or not side.any():
-            x = y = np.zeros(0, np.int64)
-        else:
-            x, y = tile_links(fp[side], fp[~side], radius, False)
-        return pa.table([x, y], schema=shape)
+        x1, t1, x2, t2 = (t.column(c)[0].as_py() for c in PAIR)
+        if (x1, t1) == (x2, t2):
+            return run(t, None)
+        left = t.column("left")
+        a, b = t.filter(left), t.filter(pc.invert(left))
+        return run(a, b) if len(a) and len(b) else run(a.slice(0, 0), None)
+
+    return compare
 
-    return dealt.groupBy("p1", "t1", "p2", "t2").applyInArrow(compare, "a long, b long")
+
+_STAR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints `fp`, enough to connect each component."""
+
+    def run(x: pa.Table, y: pa.Table | None) -> pa.Table:
+        a, b = (None if t is None else t.column("node").to_numpy().view(np.uint64) for t in (x, y))
+        if not len(a):
+            return _STAR.empty_table()
+        return pa.table(tile_links(a, a if b is None else b, radius, b is None), schema=_STAR)
+
+    dealt = dealt_pairs(distinct.select(F.col("fp").alias("node")), F.bit_count("node"), F.lit(0), radius)
+    return dealt.groupBy(*PAIR).applyInArrow(per_pair(run), "a long, b long")
 
 
 def roots_of(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -195,19 +273,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that stay: of each component the one of smallest doc_id. Texts are
-    dealt out once, to meet the ids that stay."""
-    base = docs.withColumn("_did", F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID))).withColumn("_a", F.xxhash64(docs["text"]))
-    marked = cut(fingerprints(base, ("_did", "_a")))
-    best = marked.join(roots_of(marked, radius), "fp").groupBy("root").agg(F.min(F.struct("_did", "_a")).alias("k"))
-    rows = marked.groupBy("_did", "_a").agg(F.count(F.lit(1)).alias("_n"))
-    stay = best.select("k._did", "k._a").join(rows, ["_did", "_a"])
-    kept = base.join(stay.hint("shuffle_hash"), ["_did", "_a"])
-    once = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(["_did", "_a"]))
-    return once.select(*docs.columns)
-
-
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(load(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
