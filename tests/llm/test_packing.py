@@ -36,6 +36,24 @@ def test_padding_is_small():
     assert 1 - sizes.sum() / (2048 * packing.pack(sizes)[2]) < 0.02
 
 
+@pytest.mark.parametrize("n,size", [(1024, 2), (1000, 4), (600, 5), (1024, 20), (100_000, 1), (60_000, 7), (9000, 128)])
+def test_equal_short_pieces_fill_their_windows(n, size):
+    window, offset, k = packing.pack(np.full(n, size))
+    fill = np.bincount(window, minlength=k) * size
+    assert fill.max() <= 2048 and k <= -(-n * size // 2048) + max(1, n * size // 2048 // 50)
+    assert sorted(zip(window.tolist(), offset.tolist())) == [(w, o * size) for w in range(k) for o in range(int(fill[w]) // size)]
+
+
+@pytest.mark.parametrize("rows", [
+    [(k, f"five words of text {k}") for k in range(10_000)],
+    [(k, f"a few words {k % 7}") for k in range(3000)] + [(None, None)] * 6000,
+])
+def test_short_texts_are_packed_tightly(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_pieces(packing.pieces(df, vocabulary("byte_bpe_50k.json"))).selectExpr("sum(length) as n", "max(sequence_id) + 1 as k").first()
+    assert got.k <= -(-got.n // 2048) + 1
+
+
 def test_pieces_and_sequences(spark):
     path = vocabulary("byte_bpe_50k.json")
     rows = [(k, f"some words of text {k} " * (k * 3 % 700)) for k in range(60)] + [(100, None), (101, ""), (7, "again"), (7, "again"), (None, "x y z")]

@@ -2,11 +2,13 @@
 
 A document's ids, an end id last, are cut into pieces of CAPACITY ids; full pieces are
 sequences of their own. What is left of each document (under CAPACITY ids) is packed in
-batches of about BATCH pieces: every piece begins as a partial partition of k windows
+batches of about BATCH_IDS ids: every piece begins as a partial partition of k windows
 with one of them filled; the two partitions of largest spread are merged, the fullest
 window of one with the emptiest of the other, until one partition is left, whose
-windows are near equal. If its fullest window is beyond CAPACITY, k rises and the batch
-is packed anew. Batches are dealt by hash, so each task holds whole batches only.
+windows are near equal. k begins at the least count that could hold the batch; as long as
+the fullest window is beyond CAPACITY, k rises and the batch is packed anew. Pieces that
+are tiny against a batch are strung together first. Batches are dealt by a hash of the row
+and its place, so equal rows are spread as any others and each task holds whole batches only.
 
 Near-equal windows need a few small pieces, so half of the longer remainders (by their
 ids' checksum) give up a sliver of 16 to 127 ids. It more than halves the padding.
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import cut, load, pick, plain, running_totals, tidy
 from .tokens import encoded, encoder, vocabulary
 
-CAPACITY, END, BATCH = 2048, 1, 1024
+CAPACITY, END = 2048, 1
+#: Ids of a batch, about, and parts of a batch below which pieces are strung together.
+BATCH_IDS, PARTS = 1 << 19, 1 << 14
 #: Remainders of more ids than this may give up a sliver.
 SLIVER_FROM = 512
 
@@ -84,21 +88,32 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def strung(sizes: np.ndarray) -> np.ndarray:
+    """The number of each piece's string: tiny neighbours (by number) share one, so that
+    however small the pieces are there are about PARTS strings at most; others have their own."""
+    unit = int(sizes.sum()) // PARTS
+    tiny = sizes * 2 <= unit
+    group = np.cumsum(np.where(tiny, sizes, 0)) // max(1, unit)
+    name = np.where(tiny, group, int(group[-1]) + 1 + np.arange(len(sizes)))
+    return np.unique(name, return_inverse=True)[1]
+
+
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, int]:
     """Window and offset of each piece, and the number of windows."""
     if not len(sizes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     if sizes.max() > capacity or sizes.min() < 1:
         raise ValueError("a piece holds 1 to capacity ids")
+    string = strung(sizes)
+    total = np.bincount(string, weights=sizes).astype(np.int64)
     k = max(1, -(-int(sizes.sum()) // capacity))
-    if len(sizes) >= BATCH // 2:
-        k += 1  # the first try hardly ever fits a whole batch
     while True:
-        window = differencing(sizes, k)
-        fill = np.bincount(window, weights=sizes, minlength=k)
+        window = differencing(total, k)
+        fill = np.bincount(window, weights=total, minlength=k)
         if fill.max() <= capacity:
             break
         k += 1
+    window = window[string]
     o = np.argsort(window, kind="stable")
     before = np.cumsum(sizes[o]) - sizes[o]
     heads = np.concatenate([[0], np.cumsum(fill)[:-1]]).astype(np.int64)
@@ -159,24 +174,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 def pack_pieces(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut_up (with `length`, `start`, `doc_id`, `ids_crc32`) with sequence_id, gapless from
     0, and offset."""
-    held = cut(cut_up)
-    partial = held.where(F.col("length") < capacity).count()
-    batches = max(1, round(partial / BATCH))
-    held = held.withColumn("batch", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(batches)))
+    dealt = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
+    held = cut(cut_up.withColumn("batch", dealt))
+    partial = held.where(F.col("length") < capacity).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    held = held.withColumn("batch", F.pmod("batch", F.lit(max(1, round(partial / BATCH_IDS)))))
 
     def assign(pdf):
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
         size = pdf["length"].to_numpy()
-        window, offset, used = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), 0
-        full = np.flatnonzero(size == capacity)
+        window, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        full, rest = np.flatnonzero(size == capacity), np.flatnonzero(size < capacity)
         window[full] = np.arange(len(full))
-        used = len(full)
-        rest = np.flatnonzero(size < capacity)
-        for i in range(0, len(rest), 2 * BATCH):  # more than one only if ids repeat
-            part = rest[i : i + 2 * BATCH]
-            w, offset[part], k = pack(size[part], capacity)
-            window[part] = used + w
-            used += k
+        w, offset[rest], _ = pack(size[rest], capacity)
+        window[rest] = len(full) + w
         pdf["window"], pdf["offset"] = window, offset
         return pdf
 
