@@ -41,6 +41,37 @@ def test_language_edges(spark):
     assert language.identify(edge.limit(0), model).count() == 0
 
 
+FOREIGN = ["これは日本語の文章です。私たちは毎日学校へ行きます。", "Это русский текст, который модель никогда не видела", "xkcd qwrtp zxcvb mnbvc lkjhg pqzxw vbnmk", "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Q2Zm9vYmFyYmF6cXV4Cg"]
+
+
+def test_language_rejects_what_it_has_not_learned():
+    rng = random.Random(3)
+    for left_out in SYLLABLES:
+        langs = [k for k in SYLLABLES if k != left_out]
+        texts = [talk(k, rng.randint(20, 80), rng) for k in langs for _ in range(150)]
+        model = language.fit([t.encode() for t in texts], [k for k in langs for _ in range(150)])
+        accepted = lambda ts: language.score_texts(pa.array(ts), model)[2].mean()  # noqa: B023, E731
+        assert accepted([talk(left_out, 60, rng) for _ in range(50)]) < 0.05
+        assert accepted([t * 4 for t in FOREIGN]) == 0
+        assert accepted([talk(k, rng.randint(1, 80), rng) for k in langs for _ in range(100)]) > 0.99
+        assert accepted([talk(langs[0], 20, rng) + " " + talk(langs[1], 20, rng) for _ in range(50)]) == 1
+
+
+def test_language_against_a_plain_loop():
+    """Scores of whole texts, n-gram by n-gram, from the learned tables."""
+    rng = random.Random(4)
+    texts = [talk(k, rng.randint(1, 40), rng) for k in SYLLABLES for _ in range(30)]
+    m = language.fit([t.encode() for t in texts], [k for k in SYLLABLES for _ in range(30)])
+    for t in [*texts[:20], "É a", "中文 abc", "a" * 3000, " x "]:
+        bucket = language.grams(np.frombuffer(b" " + t.encode() + b" ", np.uint8))[0].tolist()
+        z = [(sum(float(m["rows"][b, k]) for b in bucket) / max(1, len(bucket)) + float(m["bias"][k])) / m["t"] for k in range(3)]
+        p = np.exp(np.array(z) - max(z))
+        share = (sum(bool(m["seen"][b]) for b in bucket) + language.PRIOR) / (len(bucket) + language.PRIOR)
+        pred, score, accepted = language.score_texts(pa.array([t]), m)
+        assert pred[0] == m["names"][int(np.argmax(z))] and abs(score[0] - p.max() / p.sum()) < 1e-5
+        assert bool(accepted[0]) == (share >= m["reject"])
+
+
 def test_language_does_not_depend_on_neighbours():
     rng = random.Random(0)
     texts = [talk(k, rng.randint(1, 40), rng) for k in SYLLABLES for _ in range(30)]

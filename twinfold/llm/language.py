@@ -3,14 +3,22 @@
 A text is lower-cased, split into letter runs, and cut into byte 3-grams and 4-grams
 with word ends; each is hashed to a row of an embedding table. The mean row goes
 through a linear softmax. Embeddings and weights are fitted by stochastic gradient
-descent in numpy on a bounded sample of labelled rows; a temperature and a rejection
-threshold are fitted on a part of the sample that the descent does not see.
+descent in numpy on a bounded sample of labelled rows; a temperature is fitted on a part of the
+sample that the descent does not see.
+
+Rejection looks at the n-grams that the learned languages do not have: softmax alone is sure
+of any text. A text's familiar share is that of its n-grams met in two texts of the sample or
+more, as if PRIOR familiar ones stood before them, so that little evidence rejects nothing. The
+threshold lies between what the unseen part of the sample has and what texts of each
+language have in the eyes of the others, and letters in random order in the eyes of all, nearer
+to the latter. Texts that mix learned languages are familiar, so they stay.
 
 For scoring, embeddings times weights give one score row for each bucket, so a text
 costs one gather for each of its n-grams. Whole texts are read.
 
 Null text, or a text without a letter: `und`, score 0, rejected. Empty table: empty
-result. No labelled row at all: every text is `und`. Equal texts, equal results.
+result. No labelled row at all: every text is `und`. Equal texts, equal results. Of labels
+with one score the first by name is taken.
 """
 
 from __future__ import annotations
@@ -23,17 +31,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, held_out, load, pick, plain, slices, text_buffers, tidy
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 17
 DIM = 16
 #: Bounds of the training sample: texts of one language, and bytes in all.
 SAMPLE_TEXTS = 400
 SAMPLE_BYTES = 12_000_000
-#: Longest part of a training text that one gradient step looks at; scoring has no such limit.
-STEP_BYTES = 4096
-#: Share of rightly labelled validation texts that the threshold keeps.
-KEPT = 0.999
-#: Upper bound of the threshold, in shares of one label among all.
-CHANCE = 1.5
+#: Share of the validation texts that the threshold keeps, and of foreign ones that it rejects,
+#: where it cannot have both, the first counts.
+KEPT, FOREIGN = 0.999, 0.95
+#: Familiar n-grams that every text is taken to have besides its own.
+PRIOR = 200
 
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
@@ -65,18 +72,19 @@ def grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.concatenate([three[ok3] * np.uint32(0x85EBCA6B), (four ^ np.uint32(0x5BD1E995)) * np.uint32(0xC2B2AE35)])
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x2C1B3C6D)
-    return (x >> np.uint32(17)).astype(np.int64) & (BUCKETS - 1), np.concatenate([ok3, ok4])
+    return (x >> np.uint32(15)).astype(np.int64) & (BUCKETS - 1), np.concatenate([ok3, ok4])
 
 
 def fit(texts: list[bytes], labels: list[str], seed: int = 7, epochs: int = 4) -> dict | None:
-    """The model: score row of each bucket, bias, label names, temperature, threshold."""
+    """The model: score row of each bucket, bias, label names, temperature, which buckets are
+    familiar, and the threshold."""
     names = sorted(set(labels))
     if not names:
         return None
     rng, y = np.random.default_rng(seed), np.array([names.index(x) for x in labels])
     bags = []
     for t in texts:
-        b, _ = grams(np.frombuffer(b" " + t[:STEP_BYTES] + b" ", np.uint8))
+        b, _ = grams(np.frombuffer(b" " + t + b" ", np.uint8))
         bags.append(np.unique(b, return_counts=True))
     use = [i for i, b in enumerate(bags) if len(b[0])]
     check = [i for k, i in enumerate(use) if k % 5 == 4]
@@ -103,24 +111,45 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 7, epochs: int = 4) -
     rows = (table @ weights).astype(np.float32)
     z = np.array([(n / n.sum()) @ rows[b] + bias for b, n in (bags[i] for i in check or train)]) if use else np.zeros((0, len(names)))
     right = y[check or train] if use else np.zeros(0, int)
-    temperature, threshold = calibrate(z, right)
-    return {"rows": rows, "bias": bias, "names": names, "t": temperature, "reject": threshold}
-
-
-def calibrate(z: np.ndarray, right: np.ndarray) -> tuple[float, float]:
-    """Temperature of least log loss, and the threshold that keeps KEPT of the rightly
-    labelled texts, at most CHANCE times the share of each label if nothing is known: texts
-    of several languages, which lie above that, stay."""
+    met = np.zeros((len(names), BUCKETS), np.int32)
+    for i in train:
+        met[y[i], bags[i][0]] += 1
+    mixed = [rng.permutation(letters(np.frombuffer(texts[i], np.uint8))) for i in check]
+    mixed = [np.unique(grams(np.concatenate([[32], x, [32]]).astype(np.uint8))[0], return_counts=True) for x in mixed]
+    every = met.sum(axis=0)
+    rows[every == 0] = 0  # not learned, so they speak for no language
+    known = [familiar(bags[i], every > 1) for i in check]
+    foreign = [familiar(bags[i], every - met[y[i]] > 1) for i in check] + [familiar(b, every > 1) for b in mixed if len(b[0])]
+    return {"rows": rows, "bias": bias, "names": names, "t": calibrate(z, right), "seen": every > 1, "reject": between(known, foreign)}
+
+
+def familiar(bag: tuple[np.ndarray, np.ndarray], seen: np.ndarray) -> float:
+    return float((bag[1][seen[bag[0]]].sum() + PRIOR) / (bag[1].sum() + PRIOR))
+
+
+def between(known: list[float], foreign: list[float]) -> float:
+    """The threshold between two lists of familiar shares, three parts of four on the way to the
+    foreign ones. Where they come close or meet, the first counts: what is rejected is at least
+    twice as unfamiliar as all but a few of the known texts."""
+    if not known or not foreign:
+        return 0.0
+    low, high = float(np.quantile(known, 1 - KEPT)), float(np.quantile(foreign, FOREIGN))
+    return max(0.0, min((low + 3 * high) / 4, 2 * low - 1))
+
+
+def calibrate(z: np.ndarray, right: np.ndarray) -> float:
+    """The temperature of least log loss, one text in as many and two counting as wrong: else a sample
+    without an error would make it sure of everything."""
     if not len(z):
-        return 1.0, 0.0
+        return 1.0
     best = (np.inf, 1.0)
-    for t in np.geomspace(0.2, 5, 25):
+    for t in np.geomspace(0.01, 10, 61):
         s = z / t
-        loss = float(np.mean(np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - s[np.arange(len(s)), right]))
+        own = s[np.arange(len(s)), right]
+        rest = (s.sum(1) - own) / max(1, s.shape[1] - 1)
+        loss = float(np.mean(np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) + s.max(1) - own + (own - rest) / (len(s) + 2)))
         best = min(best, (loss, float(t)))
-    p = softmax(z / best[1])
-    good = p.max(1)[p.argmax(1) == right]
-    return best[1], min(CHANCE / z.shape[1], float(np.quantile(good, 1 - KEPT))) if len(good) else 0.0
+    return best[1]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -169,11 +198,11 @@ def train(docs: DataFrame) -> dict | None:
 
 
 def score_texts(column: pa.Array, model: dict | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Predicted label, score, and whether the text is accepted."""
+    """Predicted label, score, and whether the text is accepted (see the module's rejection)."""
     raw, at = text_buffers(column)
     n = len(at) - 1
     names = model["names"] if model else []
-    z, count = np.zeros((n, max(1, len(names)))), np.zeros(n, np.int64)
+    z, count, met = np.zeros((n, max(1, len(names)))), np.zeros(n, np.int64), np.zeros(n)
     for a, b in slices(at, 1 << 18) if model else ():
         # a space after each row keeps n-grams from crossing rows
         m = b - a
@@ -184,6 +213,7 @@ def score_texts(column: pa.Array, model: dict | None) -> tuple[list[str], np.nda
         starts = at[a : b + 1] - at[a] + np.arange(m + 1)
         owner = np.searchsorted(starts, pos, side="right") - 1
         count[a:b] = np.bincount(owner, minlength=m)[:m]
+        met[a:b] = np.bincount(owner[model["seen"][bucket]], minlength=m)[:m]
         for k in range(len(names)):
             z[a:b, k] = np.bincount(owner, weights=model["rows"][bucket, k], minlength=m)[:m]
     has = count > 0
@@ -196,7 +226,7 @@ def score_texts(column: pa.Array, model: dict | None) -> tuple[list[str], np.nda
     top = p.argmax(1)
     score = np.where(lettered, p.max(1), 0.0)
     pred = [names[t] if x else "und" for t, x in zip(top, lettered)]
-    return pred, score, lettered & (score >= model["reject"])
+    return pred, score, lettered & ((met + PRIOR) / (count + PRIOR) >= model["reject"])
 
 
 def identify(docs: DataFrame, model: dict | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
