@@ -132,6 +132,38 @@ def test_quality_learns_junk_passages(spark):
     assert len(got) > 80 and good > 0.85
 
 
+def test_quality_sample_holds_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_TEXTS", 60)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 60_000)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, bag, y: seen.append((bag, y)) or "model")
+    rows = [(k, f"{k} " * (4000 if k % 2 else 10)) for k in range(600)] + [(5, "5 " * 4000)] * 50
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, quality int")
+    assert quality.train(d, labels) == "model"
+    (bag, y), = seen
+    assert 45 <= len(y) <= 60 and 0.2 < np.mean(y) < 0.8 and 40_000 < bag[-1] * quality.PASSAGE < 90_000
+
+
+def test_quality_against_a_plain_loop():
+    """Scores from the learned weights, passage by passage."""
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(32, 127, n).astype(np.uint8)).decode() for n in (0, 1, 7, 511, 512, 513, 3000)] + [None, "é" * 700]
+    x, bag = quality.encode(rng.integers(32, 127, 9000).astype(np.uint8), np.array([0, 0, 700, 4000, 9000]))
+    m = quality.fit(x, bag, np.array([0, 1, 1, 0], np.float32), epochs=3)
+    got, _ = quality.score_texts(pa.array(texts, pa.string()), m)
+    for t, s in zip(texts, got):
+        raw = (t or "").encode()
+        code, weight = [], []
+        for alone in quality.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]:
+            h = np.tanh(alone @ m["E"] + m["e"])
+            code.append(h)
+            weight.append(float(np.exp((np.tanh(h @ m["V"]) / (1 + np.exp(-(h @ m["U"])))) @ m["w"])))
+        assert len(code) == max(1, -(-len(raw) // quality.PASSAGE))
+        z = sum(w * h for w, h in zip(weight, code)) / sum(weight)
+        assert abs(1 / (1 + np.exp(-(z @ m["c"] + m["b"][0]))) - s) < 1e-4
+
+
 def test_quality_edges(spark):
     edge = spark.createDataFrame([(1, None), (2, ""), (3, "a" * 700_000), (None, "x")], "doc_id long, text string")
     assert [r.score for r in quality.score(edge, None).collect()] == [0.5] * 4

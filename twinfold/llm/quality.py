@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, load, pick, plain, slices, text_buffers, tidy
+from .language import caps
 
 PASSAGE = 512
 #: Bounds of the training sample: texts, and bytes in all.
@@ -63,9 +64,12 @@ def encode(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for k in range(1, 8):
             g = g * np.uint64(257) + own[k : len(own) - 7 + k]
         slot = (g * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
-        seen = np.unique(passage[:-7] * 4096 + slot) // 4096
-        out[:, PAIRS + 1] = length - np.bincount(seen, minlength=n)[:n]
-    words = np.bincount(passage[1:][(kind[1:] < 3) & (kind[:-1] >= 3)], minlength=n)[:n] if len(own) > 1 else 0
+        whole = row[:-7] == row[7:]  # of one text
+        seen = np.unique(passage[:-7][whole] * 4096 + slot[whole]) // 4096
+        out[:, PAIRS + 1] = np.bincount(passage[:-7][whole], minlength=n)[:n] - np.bincount(seen, minlength=n)[:n]
+    before = np.full(len(own), 4)
+    before[1:] = np.where(row[1:] == row[:-1], kind[:-1], 4)
+    words = np.bincount(passage[(kind < 3) & (before >= 3)], minlength=n)[:n]
     out[:, : PAIRS + 2] /= np.maximum(length, 1)[:, None]
     out[:, :PAIRS] = np.sqrt(out[:, :PAIRS])
     out[:, PAIRS + 2] = words / np.maximum(length, 1)
@@ -135,30 +139,30 @@ def fit(x: np.ndarray, bag: np.ndarray, y: np.ndarray, hidden: int = 24, gate: i
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict | None:
-    """Fit on a bounded sample: of the rows that may be learned from, those of least hash."""
+    """Fit on a bounded sample: of the rows that may be learned from, the SAMPLE_TEXTS of least
+    hash (equal rows once). Where they are over SAMPLE_BYTES in all, the longest give a stretch
+    from a place by hash, each as much as any other of them."""
     marks = labels.where(labels[label].isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     rows = plain(docs, "doc_id", "text").where(~held_out())
     known = rows.select("doc_id").join(marks, "doc_id").count()
     if not known:
         return None
-    order = F.xxhash64("doc_id", F.lit("quality"))
-    drawn = marks.where(F.shiftrightunsigned(order, 11) / float(1 << 53) < min(1.0, 1.2 * SAMPLE_TEXTS / known))
-    got = rows.join(drawn, "doc_id").select("text", "y", order.alias("o"))
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    # bytes in hash order, among SAMPLE_TEXTS rows at most
-    got = got.orderBy("o", "text").limit(SAMPLE_TEXTS).where(size <= SAMPLE_BYTES // 16)
-    x, y, held = [], [], 0
-    for r in got.toLocalIterator():
-        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
-        held += len(raw)
-        if held > SAMPLE_BYTES:
-            break
-        x.append(encode(raw, np.array([0, len(raw)]))[0])
-        y.append(r["y"])
-    if not y:
+    rate = min(1.0, 1.2 * SAMPLE_TEXTS / known)
+    named = rows.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("raw"))
+    named = named.withColumn("o", F.xxhash64("doc_id", "raw", F.lit("quality"))).where(F.shiftrightunsigned("o", 11) / float(1 << 53) < rate)
+    drawn = named.join(marks, "doc_id")
+    sizes = sorted((r["o"], r["n"]) for r in drawn.groupBy("o").agg(F.max(F.octet_length("raw")).alias("n")).collect())[:SAMPLE_TEXTS]
+    if not sizes:
         return None
+    most, cap = sizes[-1][0], caps({"": [n for _, n in sizes]}, SAMPLE_BYTES)[""]
+    n = F.octet_length("raw")
+    at = F.when(n > cap, F.pmod(F.xxhash64("o"), n - cap + 1)).otherwise(0).cast("int")
+    part = drawn.where(F.col("o") <= most).select("o", "y", F.substring("raw", at + 1, cap).alias("part"))
+    got = sorted((r["o"], bytes(r["part"]), r["y"]) for r in part.groupBy("o").agg(F.max("part").alias("part"), F.max("y").alias("y")).collect())
+    raws = [np.frombuffer(x, np.uint8) for _, x, _ in got]
+    x = [encode(raw, np.array([0, len(raw)]))[0] for raw in raws]
     bag = np.concatenate([[0], np.cumsum([len(a) for a in x])])
-    return fit(np.concatenate(x), bag, np.array(y, np.float32))
+    return fit(np.concatenate(x), bag, np.array([y for _, _, y in got], np.float32))
 
 
 def score_texts(column: pa.Array, model: dict | None) -> tuple[np.ndarray, np.ndarray]:
