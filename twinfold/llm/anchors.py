@@ -57,7 +57,7 @@ def with_copies(base: DataFrame, twins: DataFrame) -> DataFrame:
 def combine(h: np.ndarray, did: np.ndarray, pos: np.ndarray, by_doc: bool):
     """Rows to shuffle. A hash that stands here in two documents (by_doc) or two
     places marks its rows; the first of them goes on unmarked for the others' sake."""
-    o = np.argsort(h, kind="stable")
+    o = np.argsort(h)
     h, did, pos = h[o], did[o], pos[o]
     first = np.ones(len(h), bool)
     first[1:] = h[1:] != h[:-1]

@@ -57,14 +57,15 @@ def bucket_pointers(text: np.ndarray, depth: int, q: int = Q, portion: int | Non
     n = len(text)
     lanes = lanes_of(text)
     gram = lanes[:n].byteswap() >> np.uint64(64 - 8 * q)  # the first byte weighs most
-    order = np.argsort(gram, kind="stable")
-    pointer, known = np.empty(n, np.int64), np.full(n, q)
+    order = np.argsort(gram)
+    pointer, known, seen, doubt = np.empty(n, np.int64), np.full(n, q), np.full(n, q), np.zeros(n, np.int64)
     head, size = _heads(gram[order])
     pointer[order] = head
     pending = order[size > 1]
     while len(pending):
-        pending = np.concatenate([_refine(part, pointer, known, order, depth) for part in _portions(pending, pointer, portion or max(1 << 14, n // 8))])
-    return _of_depth(lanes, order, pointer, gram, q, depth)
+        parts = _portions(pending, pointer, portion or max(1 << 14, n // 8))
+        pending = np.concatenate([_refine(part, pointer, known, seen, doubt, order, depth) for part in parts])
+    return _of_depth(lanes, order, pointer, doubt, depth)
 
 
 def _portions(member: np.ndarray, pointer: np.ndarray, size: int):
@@ -77,38 +78,45 @@ def _portions(member: np.ndarray, pointer: np.ndarray, size: int):
         at = end
 
 
-def _refine(member: np.ndarray, pointer: np.ndarray, known: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def _refine(member: np.ndarray, pointer: np.ndarray, known: np.ndarray, seen: np.ndarray, doubt: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Splits the buckets of some members by the pointers behind what each bucket is known to
-    share, writes the new pointers, depths and places, and returns members that may split further."""
+    share; writes the new pointers and places, what is known to be shared, how many bytes
+    have been looked at (seen), and where more than depth of them may have been needed (doubt:
+    the bytes shared there). Gives the members that may split further."""
     n = len(pointer)
-    bucket, ahead = pointer[member], member + known[member]
+    bucket, shared = pointer[member], known[member]
+    ahead = member + shared
     inside = ahead < n
     ahead = np.minimum(ahead, n - 1)
     key = (bucket << np.int64(31)) | np.where(inside, pointer[ahead] + 1, 0)
-    gain = np.where(inside, known[ahead], depth)
-    o = np.argsort(key, kind="stable")
-    member, bucket, key, gain = member[o], bucket[o], key[o], gain[o]
+    o = np.argsort(key)
+    member, bucket, key, shared, ahead, inside = (x[o] for x in (member, bucket, key, shared, ahead, inside))
     old, _ = _heads(bucket)
     new, size = _heads(key)
-    order[bucket + np.arange(len(member)) - old] = member
-    pointer[member] = bucket + (new - old)
-    known[member] += gain
+    slot = bucket + np.arange(len(member)) - old
+    order[slot] = member
+    looked = shared + np.where(inside, seen[ahead], depth)
+    known[member] = shared + np.where(inside, known[ahead], depth)
+    seen[member], pointer[member] = looked, bucket + (new - old)
+    split = np.flatnonzero((key[1:] != key[:-1]) & (bucket[1:] == bucket[:-1]) & (np.minimum(looked[1:], looked[:-1]) > depth)) + 1
+    doubt[slot[split]] = shared[split]
     return member[(size > 1) & (known[member] < depth)]
 
 
-def _of_depth(lanes: np.ndarray, order: np.ndarray, pointer: np.ndarray, gram: np.ndarray, q: int, depth: int) -> np.ndarray:
-    """Pointers of buckets of exactly `depth` bytes, from buckets that may have been told apart
-    by more: those that follow each other are compared, eight bytes at a time, as long as
-    they agree."""
-    n, k = len(order), q
-    held = gram[order]
+def _of_depth(lanes: np.ndarray, order: np.ndarray, pointer: np.ndarray, doubt: np.ndarray, depth: int) -> np.ndarray:
+    """Pointers of buckets of exactly `depth` bytes: where buckets may have been told apart by
+    more, those that follow each other are compared, eight bytes at a time, as long as they agree."""
+    n = len(order)
     first = pointer[order] == np.arange(n)
-    left = np.flatnonzero(first[1:] & (held[1:] == held[:-1])) + 1
-    while len(left) and k < depth:
-        a, b = (np.where(order[x] + k < n, lanes[np.minimum(order[x] + k, n)], 0) for x in (left - 1, left))
-        take = _TAKE[min(depth - k, 8)]
-        left, k = left[(a & take) == (b & take)], k + 8
-    first[left] = False
+    left = np.flatnonzero(first & (doubt > 0))
+    at = doubt[left]
+    while len(left):
+        a, b = (np.where(order[x] + at < n, lanes[np.minimum(order[x] + at, n)], 0) for x in (left - 1, left))
+        take = _TAKE[np.clip(depth - at, 0, 8)]
+        same = (a & take) == (b & take)
+        left, at = left[same], at[same] + 8
+        first[left[at >= depth]] = False
+        left, at = left[at < depth], at[at < depth]
     heads = np.flatnonzero(first)
     out = np.empty(n, np.int64)
     out[order] = heads[np.cumsum(first) - 1]
