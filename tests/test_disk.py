@@ -70,6 +70,27 @@ def test_copy_sidecar_and_trust(spark, tmp_path):
         effects.copy_file(str(target), str(target))
 
 
+def test_sidecars_of_hidden_files(spark, tmp_path):
+    for n in (".hidden/.x", "_u", "a+b %41"):
+        put(tmp_path / "r" / n, n)
+        (tmp_path / f"r/{n}{sidecars.SUFFIX}").write_text(sidecars.json_text({"size": len(n), "mtime": 1_700_000_000, "md5": n, "media": None}))
+    (tmp_path / f"r/broken{sidecars.SUFFIX}").write_bytes(b"\xff{")
+    got = {r.path: r.md5 for r in sidecars.read(spark, str(tmp_path / "r")).collect()}
+    assert got == {str(tmp_path / "r" / n): n for n in (".hidden/.x", "_u", "a+b %41")}
+
+
+def test_copy_command_leaves_media_facts(tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + (13).to_bytes(4, "big") + b"IHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"\x08\x02\0\0\0" + bytes(4)
+    (tmp_path / "src/d").mkdir(parents=True)
+    (tmp_path / "src/d/p.png").write_bytes(png)
+    put(tmp_path / "src/plain", "no picture")
+    assert run.main(["copy", str(tmp_path / "src"), str(tmp_path / "dst"), "--transfers", "2", "--full"]) == 0
+    facts = json.loads((tmp_path / f"dst/d/p.png{sidecars.SUFFIX}").read_text())
+    assert (facts["media"]["width"], facts["media"]["height"]) == (640, 480) and facts["size"] == len(png)
+    assert "media" not in json.loads((tmp_path / f"dst/plain{sidecars.SUFFIX}").read_text())
+    assert (tmp_path / "dst/d/p.png").read_bytes() == png
+
+
 def test_read_back(tmp_path):
     put(tmp_path / "f", "0123456789")
     good = [hashing.hashlib.md5(x).hexdigest() for x in (b"0123", b"4567", b"89")]
@@ -129,10 +150,39 @@ def test_whole_run(spark, tmp_path, checksum):
         assert cache.read(spark, str(tmp_path / "compact")).groupBy("path").count().where("count > 1").isEmpty()
 
 
-def test_main_writes_reports(spark, tmp_path, capsys):
+def test_main_writes_reports(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setenv("XDG_CACHE_HOME", str(tmp_path / "own cache"))
     for n in "ab":
         put(tmp_path / "r" / n, "twice")
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert run.main([str(tmp_path / "r"), "--checksum", "--format", "csv", "--out", str(tmp_path / "out")]) == 0
     assert "size_bytes" in "".join(p.read_text() for p in (tmp_path / "out/groups").glob("*.csv"))
+    assert cache.read(spark, cache.default_folder()).count() == 2
     assert run.main([str(tmp_path / "r"), "--delete"]) == 0 and "refused" in capsys.readouterr().out
+    assert run.main([str(tmp_path / "r"), str(tmp_path / "none"), "--within-root", "--verbose"]) == 0
+    seen = capsys.readouterr()
+    assert "none" in seen.err and "files: 2" in seen.out
+    assert run.main([str(tmp_path / "none"), "--quiet"]) == 0 and "none" not in capsys.readouterr().err
+
+
+def test_disposed_trees_leave_no_empty_directories(spark, tmp_path):
+    for d in ("p/tree", "q/tree"):
+        for n in ("x/1", "x/2", "y"):
+            put(tmp_path / "r" / d / n, f"content of {n}")
+    args = [str(tmp_path / "r"), "--checksum", "--no-cache", "--no-overlap", "--dispose", "unlink", "--delete"]
+    assert run.main(args) == 0
+    left = sorted(str(p.relative_to(tmp_path / "r")) for p in (tmp_path / "r").rglob("*") if p.is_file())
+    assert len(left) == 3 and len({p.split("/")[0] for p in left}) == 1
+    gone = ({"p", "q"} - {left[0].split("/")[0]}).pop()
+    assert not any((tmp_path / "r" / gone).rglob("*"))
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from twinfold.lineage import shared_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))

@@ -88,11 +88,36 @@ def test_coverage(spark):
     assert pairs(trees.covering_trees(counts, rows)) == [("/A", "/B")] and pairs(trees.covering_trees(counts, rows, strict=True)) == []
 
 
-def test_bucket_cap_is_reported(spark):
-    f = files(spark, [("/r", f"d{k}/{n}", 3, 1, n) for k in range(6) for n in "ab"])
-    prints = trees.fingerprints(trees.in_directories(f))
-    assert trees.candidate_pairs(prints, cap=5).count() == 0 and trees.oversized_buckets(prints, cap=5).first().dirs == 6
-    assert trees.candidate_pairs(prints).count() == 15
+def test_large_classes_give_stars(spark):
+    f = files(spark, [("/r", f"d{k}/{n}", 3, 1, n) for k in range(6) for n in "ab"] + [("/r", f"e{k}/{n}", 3, 1, n) for k in range(3) for n in "cd"])
+    found = trees.identical_classes(f, "content").cache()
+    assert trees.pairs_of(found).count() == 15 + 3 == trees.pairs_of(found, None).count()
+    star = pairs(trees.pairs_of(found, 5))
+    assert star == [*[("/r/d0", f"/r/d{k}") for k in range(1, 6)], ("/r/e0", "/r/e1"), ("/r/e0", "/r/e2"), ("/r/e1", "/r/e2")]
+    assert [tuple(r) for r in trees.large_classes(found, 5).collect()] == [("/r/d0", 6)]
+    assert pairs(trees.identical_trees(f, "content", whole=5)) == star
+
+
+def test_thousands_of_equal_directories(spark):
+    f = files(spark, [("/r", f"d{k:04d}/{n}", 3, 1, n) for k in range(2300) for n in "ab"])
+    got = pairs(trees.identical_trees(f, "content", prune=False))
+    assert got == [("/r/d0000", f"/r/d{k:04d}") for k in range(1, 2300)]
+
+
+def test_classes_are_verified(spark):
+    """Fingerprints that fall together by chance do not make directories equal."""
+    f = files(spark, [("/r", f"{d}/{n}", 3, 1, n) for d, names in {"p": "ab", "q": "ab", "z": "cd"}.items() for n in names])
+    rows = trees.in_directories(f)
+    same = trees.fingerprints(rows, trees.ENTRIES["content"]).where("n = 2").withColumn("fp1", F.lit(0)).withColumn("fp2", F.lit(0))
+    assert pairs(trees.pairs_of(trees.classes(same, rows, trees.ENTRIES["content"]))) == [("/r/p", "/r/q")]
+
+
+def test_covering_classes_reach_beyond_the_lifted_form(spark):
+    rows = [(f"/r{k:02d}", f"a/f{k}", 3, 1, "h") for k in range(60)]
+    f = files(spark, rows)
+    m = groups.members(f)
+    all_pairs = trees.covering_trees(f, m, prune=False).where("dir_a like '%/a' and dir_b like '%/a'").count()
+    assert all_pairs == 60 * 59 // 2 > trees.lifted_trees(f, m, prune=False).where("dir_a like '%/a' and dir_b like '%/a'").count()
 
 
 def test_order_of_input_does_not_matter(spark):

@@ -9,7 +9,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "pages", "events"):
+    for t in ("documents", "pages", "events", "lineitem"):
         c.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     return c
 

@@ -94,11 +94,15 @@ def probe(path: str, program: str | None = None) -> str | None:
     return json.dumps({"streams": [{"codec_type": "image", "width": size[0], "height": size[1]}]}) if size else None
 
 
-def probed(files: DataFrame) -> DataFrame:
-    """path and media facts of files (path) that executors see."""
+def probed(files: DataFrame, *keep: str) -> DataFrame:
+    """path, other columns and media facts (null where there are none) of files that executors see."""
+    names = ["path", *keep]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([probe(p) for p in b.column("path").to_pylist()], pa.string())], ["path", "probe"])
+            found = [probe(p) for p in b.column("path").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(found, pa.string())], [*names, "probe"])
 
-    return files.select("path").mapInArrow(run, "path string, probe string").select("path", media_facts(F.col("probe")).alias("media"))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*names).schema)
+    facts = F.when(F.col("probe").isNotNull(), media_facts(F.col("probe")))
+    return files.select(*names).mapInArrow(run, f"{shape}, probe string").select(*names, facts.alias("media"))

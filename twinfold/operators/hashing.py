@@ -56,7 +56,8 @@ def file_md5(path: str, chunk: int = CHUNK) -> str:
 
 def read_hashes(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """files without md5 with the hash of their contents and hash_error. Each executor has to see
-    the paths. Files are dealt out at random, in rows of Arrow batches."""
+    the paths. Where `tasks` is given files are dealt out among them in turn, so that the largest
+    do not meet (candidates come in order of size)."""
     names = files.columns
 
     def run(batches):
@@ -80,10 +81,10 @@ def read_hashes(files: DataFrame, tasks: int | None = None) -> DataFrame:
     return dealt.mapInArrow(run, f"{shape}, md5 string, hash_origin string, hash_error string")
 
 
-def resolve(files: DataFrame, sidecars: DataFrame | None, cache: DataFrame | None, now: int, max_age: float = 0, rehash: bool = False, reader=read_hashes) -> DataFrame:
-    """The whole cascade: files with md5, hash_origin and hash_error."""
+def resolve(files: DataFrame, sidecars: DataFrame | None, cache: DataFrame | None, now: int, max_age: float = 0, rehash: bool = False, reader=None, tasks: int | None = None) -> DataFrame:
+    """The whole cascade: files with md5, hash_origin and hash_error. tasks: how many read files."""
     known = with_known_hashes(files, sidecars, cache, now, max_age, rehash)
-    rest = reader(known.where("md5 is null"))
+    rest = (reader or (lambda x: read_hashes(x, tasks)))(known.where("md5 is null"))
     return known.where("md5 is not null").unionByName(rest, allowMissingColumns=True)
 
 

@@ -1,9 +1,11 @@
 """Directory-level duplicates.
 
 A file belongs to each directory from its root down to its parent (files x depth rows).
-Directories get a fingerprint that does not depend on order, equal fingerprints and counts
-give candidate pairs, candidates are verified entry by entry, and verified pairs
-below other verified pairs are dropped.
+Directories get a fingerprint that does not depend on order; those of equal fingerprint and
+count form a class, each verified entry by entry against the first of its class, so the work
+is linear however many directories are equal. Pairs are made of verified classes: all of
+them for classes of up to WHOLE directories, and beyond that the first directory with each
+other one, which joins the same directories. Pairs below other pairs are dropped.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors_or_self, directories, is_below, parent, relative
+from ..lineage import cut
 
-#: Identical directories of one fingerprint that are paired; larger buckets are reported.
-BUCKET_CAP = 2000
-#: Distinct parents of a group, and levels, that the coverage form looks at.
+#: Directories of a class up to which every two of them make a pair.
+WHOLE = 2000
+#: Distinct parents of a group, and levels, that the lifted coverage form looks at.
 PARENT_CAP, LIFT = 50, 12
 
 ENTRIES = {
@@ -43,37 +46,62 @@ def _apart(a: Column, b: Column) -> Column:
     return ~is_below(a, b) & ~is_below(b, a)
 
 
-def candidate_pairs(prints: DataFrame, least: int = 2, cap: int = BUCKET_CAP) -> DataFrame:
-    """Pairs dir_a < dir_b of equal fingerprint and count, none within the other.
-    Buckets of more than cap directories give none: see oversized_buckets."""
-    key = ["n", "bytes", "fp1", "fp2"]
-    sized = prints.where(F.col("n") >= least).join(_buckets(prints, key, least).where((F.col("dirs") > 1) & (F.col("dirs") <= cap)).drop("dirs"), key)
-    a = sized.select(*key, F.col("dir").alias("dir_a"), F.col("root").alias("root_a"))
-    b = sized.select(*key, F.col("dir").alias("dir_b"), F.col("root").alias("root_b"))
-    pairs = a.join(b, key).where((F.col("dir_a") < F.col("dir_b")) & _apart(F.col("dir_a"), F.col("dir_b")))
-    return pairs.select("dir_a", "root_a", "dir_b", "root_b", F.col("n").alias("file_count"), F.col("bytes").alias("total_size"))
-
-
-def _buckets(prints: DataFrame, key: list[str], least: int) -> DataFrame:
-    return prints.where(F.col("n") >= least).groupBy(*key).agg(F.count(F.lit(1)).alias("dirs"))
-
-
-def oversized_buckets(prints: DataFrame, least: int = 2, cap: int = BUCKET_CAP) -> DataFrame:
-    """The buckets that candidate_pairs leaves out: an equivalence class of directories each."""
-    return _buckets(prints, ["n", "bytes", "fp1", "fp2"], least).where(F.col("dirs") > cap)
-
-
-def verified(pairs: DataFrame, rows: DataFrame, key: tuple[str, ...] = ENTRIES["fast"]) -> DataFrame:
-    """Pairs whose entries agree one by one: as many matches as either side has files.
-    Entries are paths below the directory, so each matches once at most."""
-    left = pairs.join(rows.select(F.col("dir").alias("dir_a"), *key), "dir_a").select("dir_a", "dir_b", *key)
-    match = left.join(rows.select(F.col("dir").alias("dir_b"), *key), ["dir_b", *key])
-    count = match.groupBy("dir_a", "dir_b").agg(F.count(F.lit(1)).alias("matched"))
-    return pairs.join(count, ["dir_a", "dir_b"]).where("matched = file_count").drop("matched")
+def classes(prints: DataFrame, rows: DataFrame, key: tuple[str, ...], alike: tuple[str, ...] = ("n", "bytes", "fp1", "fp2"), matches: str = "n") -> DataFrame:
+    """dir, root, n, bytes, class_id (the first directory of the class) and dirs (how many there
+    are before verification) of the directories that equal another one. Directories agree in the columns
+    `alike`, and as many of their rows (dir and key) as `matches` says are in the first
+    directory as well; rows are distinct. One that does not agree (a collision of fingerprints) is left out."""
+    tops = prints.groupBy(*alike).agg(F.min("dir").alias("class_id"), F.count(F.lit(1)).alias("dirs")).where("dirs > 1")
+    named = cut(prints.join(tops, list(alike)))  # few rows, used three times
+    mine = rows.select("dir", *key).join(named.select("dir", "class_id"), "dir")
+    first = mine.where("dir = class_id").select("class_id", *key)
+    agree = mine.join(first, ["class_id", *key]).groupBy("dir").agg(F.count(F.lit(1)).alias("agree"))
+    good = named.join(agree, "dir").where(F.col("agree") == F.col(matches))
+    return cut(good.select("dir", "root", "n", "bytes", "class_id", "dirs"))
+
+
+def large_classes(class_rows: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """The classes that pairs_of gives as stars: class_id and dirs, for the log."""
+    return class_rows.where(F.col("dirs") > whole).groupBy("class_id").agg(F.count(F.lit(1)).alias("dirs"))
+
+
+def pairs_of(class_rows: DataFrame, whole: int | None = WHOLE) -> DataFrame:
+    """Pairs dir_a < dir_b of each class, none within the other. Classes of over `whole`
+    directories (None: no class) give a star: their first directory with each other one that
+    lies below no other of the class."""
+    small = class_rows if whole is None else class_rows.where(F.col("dirs") <= whole)
+    a = small.select("class_id", F.col("dir").alias("dir_a"), F.col("root").alias("root_a"), F.col("n").alias("file_count"), F.col("bytes").alias("total_size"))
+    b = small.select("class_id", F.col("dir").alias("dir_b"), F.col("root").alias("root_b"))
+    out = a.join(b, "class_id").where((F.col("dir_a") < F.col("dir_b")) & _apart(F.col("dir_a"), F.col("dir_b")))
+    if whole is not None:
+        large = class_rows.where(F.col("dirs") > whole)
+        above = large.withColumn("up", F.explode(ancestors_or_self(F.col("root"), F.col("dir")))).where("up <> dir").select("class_id", "dir", "up")
+        inner = above.join(large.select("class_id", F.col("dir").alias("up")), ["class_id", "up"], "left_semi")
+        outer = large.join(inner, ["class_id", "dir"], "left_anti")
+        first = large.where("dir = class_id").select("class_id", F.col("dir").alias("dir_a"), F.col("root").alias("root_a"), F.col("n").alias("file_count"), F.col("bytes").alias("total_size"))
+        star = first.join(outer.where("dir <> class_id").select("class_id", F.col("dir").alias("dir_b"), F.col("root").alias("root_b")), "class_id")
+        out = out.unionByName(star.where(_apart(F.col("dir_a"), F.col("dir_b"))))
+    return out.select("dir_a", "root_a", "dir_b", "root_b", "file_count", "total_size")
+
+
+def without_dirs(df: DataFrame, dirs: DataFrame | None) -> DataFrame:
+    return df if dirs is None else df.join(dirs.select("dir"), "dir", "left_anti")
+
+
+def identical_classes(files: DataFrame, mode: str = "fast", incomplete: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """The classes of identical directories; mode fast (path, size, mtime) or content (path,
+    size, md5; a directory with a file without hash is in none). incomplete: directories (dir)
+    of which not all files are known."""
+    rows, key = in_directories(files), ENTRIES[mode]
+    prints = without_dirs(fingerprints(rows, key).where(F.col("n") >= least), incomplete)
+    if mode == "content":
+        prints = without_dirs(prints, unhashed(rows))
+    return classes(prints, rows, key)
 
 
 def undominated(pairs: DataFrame) -> DataFrame:
     """Pairs with no other pair at or above them on both sides, straight or crossed."""
+    pairs = cut(pairs)  # used three times
     up = pairs.withColumn("up_a", F.explode(ancestors_or_self(F.col("root_a"), F.col("dir_a"))))
     up = up.withColumn("up_b", F.explode(ancestors_or_self(F.col("root_b"), F.col("dir_b"))))
     # a pair stands in its table with the smaller directory first
@@ -84,18 +112,10 @@ def undominated(pairs: DataFrame) -> DataFrame:
     return pairs.join(beaten.select("dir_a", "dir_b").distinct(), ["dir_a", "dir_b"], "left_anti")
 
 
-def identical_trees(files: DataFrame, mode: str = "fast", prune: bool = True, incomplete: DataFrame | None = None, seeds: DataFrame | None = None, least: int = 2) -> DataFrame:
-    """Verified tree pairs; mode fast (path, size, mtime) or content (path, size, md5).
-    incomplete: directories (dir) of which not all files are known. seeds: pairs known before,
-    which drop what is below them."""
-    rows, key = in_directories(files), ENTRIES[mode]
-    pairs = candidate_pairs(fingerprints(rows, key), least)
-    if incomplete is not None:
-        for side in ("dir_a", "dir_b"):
-            pairs = pairs.join(incomplete.select(F.col("dir").alias(side)), side, "left_anti")
-    pairs = verified(pairs, rows, key)
-    if mode == "content":
-        pairs = pairs.join(hashed_only(rows), F.col("dir_a") == F.col("dir"), "left_anti")
+def identical_trees(files: DataFrame, mode: str = "fast", prune: bool = True, incomplete: DataFrame | None = None, seeds: DataFrame | None = None, least: int = 2, whole: int | None = WHOLE) -> DataFrame:
+    """Pairs of identical directories (see identical_classes and pairs_of). seeds: pairs known
+    before, which drop what is below them."""
+    pairs = pairs_of(identical_classes(files, mode, incomplete, least), whole)
     if not prune:
         return pairs
     if seeds is None:
@@ -104,7 +124,7 @@ def identical_trees(files: DataFrame, mode: str = "fast", prune: bool = True, in
     return undominated(every).join(seeds, ["dir_a", "dir_b"], "left_anti")
 
 
-def hashed_only(rows: DataFrame) -> DataFrame:
+def unhashed(rows: DataFrame) -> DataFrame:
     """Directories that hold a file without a hash: content cannot prove them equal."""
     return rows.where(F.col("md5").isNull()).select("dir").distinct()
 
@@ -114,10 +134,29 @@ def incomplete_directories(scanned: DataFrame) -> DataFrame:
     return in_directories(scanned.where(~F.col("accepted"))).select("dir").distinct()
 
 
-def covering_trees(files: DataFrame, member_rows: DataFrame, prune: bool = True, parent_cap: int | None = PARENT_CAP, lift: int = LIFT, strict: bool = False, incomplete: DataFrame | None = None) -> DataFrame:
-    """Pairs of equal file count in which each file has a group member on the other side;
-    paths are not compared. strict: the counts of each group must agree as well.
-    Candidates are parents of members of one group, lifted together."""
+def covering_classes(files: DataFrame, member_rows: DataFrame, strict: bool = False, incomplete: DataFrame | None = None) -> DataFrame:
+    """Classes of directories of equal file count that cover each other: all of their files are
+    members of groups, and of the same groups. Paths are not compared. strict: each group has as
+    many members in either, and the bytes agree."""
+    own = ("gid", "c") if strict else ("gid",)
+    held = in_directories(member_rows).groupBy("dir", "gid").agg(F.count(F.lit(1)).alias("c"))
+    exact = lambda seed: F.sum(F.xxhash64(F.lit(seed), *own).cast("decimal(20,0)"))
+    sets = held.groupBy("dir").agg(F.count(F.lit(1)).alias("g"), F.sum("c").alias("n"), exact(1).alias("fp1"), exact(2).alias("fp2"))
+    stats = in_directories(files).groupBy("dir", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("bytes"))
+    prints = without_dirs(stats.join(sets, ["dir", "n"]), incomplete)  # as many members as files
+    return classes(prints, held, own, ("n", "g", "fp1", "fp2", *["bytes"] * strict), "g")
+
+
+def covering_trees(files: DataFrame, member_rows: DataFrame, prune: bool = True, strict: bool = False, incomplete: DataFrame | None = None, whole: int | None = WHOLE) -> DataFrame:
+    """Pairs of directories that cover each other (see covering_classes); total_size is the first's."""
+    pairs = pairs_of(covering_classes(files, member_rows, strict, incomplete), whole)
+    return undominated(pairs) if prune else pairs
+
+
+def lifted_trees(files: DataFrame, member_rows: DataFrame, prune: bool = True, parent_cap: int | None = PARENT_CAP, lift: int = LIFT, strict: bool = False, incomplete: DataFrame | None = None) -> DataFrame:
+    """covering_trees as far as bounded candidates reach, for those who want no more than that:
+    the first parent_cap parents of members of one group, lifted together up to `lift`
+    levels. What lies beyond the bounds is not found."""
     home = member_rows.select("gid", "root", parent(F.col("path")).alias("dir")).distinct()
     if parent_cap:
         home = home.withColumn("k", F.row_number().over(Window.partitionBy("gid").orderBy("dir"))).where(F.col("k") <= parent_cap).drop("k")

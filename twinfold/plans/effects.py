@@ -15,9 +15,11 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.paths import encoded
-from ..sources.sidecars import SUFFIX, is_sidecar
+from ..functions.media import probed
+from ..sources.sidecars import SUFFIX, json_text
 
 MODES = ("dry-run", "unlink", "trash")
 
@@ -140,9 +142,9 @@ def read_back(path: str, hashes: list[str], chunk: int, full: bool) -> None:
                 raise OSError(f"chunk {k} of {path} differs from what was written")
 
 
-def copy_file(source: str, target: str, chunk: int = 64 << 20, full: bool = False) -> dict:
-    """Copies with whole and chunk hashes, keeps mtime, reads back, writes a sidecar.
-    A failed copy leaves no target. A file is never copied onto itself."""
+def copy_file(source: str, target: str, chunk: int = 64 << 20, full: bool = False, media: dict | None = None) -> dict:
+    """Copies with whole and chunk hashes, keeps mtime, reads back, writes a sidecar (with media
+    facts if there are any). A failed copy leaves no target. A file is never copied onto itself."""
     if os.path.exists(target) and os.path.samefile(source, target):
         raise OSError(f"{source} and {target} are the same file")
     os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
@@ -163,25 +165,30 @@ def copy_file(source: str, target: str, chunk: int = 64 << 20, full: bool = Fals
         if os.path.exists(target):
             os.unlink(target)
         raise
-    facts = {"size": size, "mtime": state.st_mtime_ns // 10**9, "md5": whole.hexdigest(), "chunk_size": chunk, "chunk_md5": hashes}
+    facts = {"size": size, "mtime": state.st_mtime_ns // 10**9, "md5": whole.hexdigest(), "chunk_size": chunk, "chunk_md5": hashes, "media": media}
     with open(target + SUFFIX, "w") as f:
-        f.write(json.dumps(facts, indent=2) + "\n")
+        f.write(json_text(facts))
     return facts
 
 
-def copy_tree(spark, source: str, target: str, transfers: int = 4, chunk: int = 64 << 20, full: bool = False) -> DataFrame:
+def copy_tree(spark, source: str, target: str, transfers: int = 4, chunk: int = 64 << 20, full: bool = False, media: bool = False) -> DataFrame:
     """Copies all regular files but sidecars on `transfers` tasks: path, size, md5, error.
-    Executors have to see both folders."""
+    media: files are probed, and what is found goes into their sidecars. Executors have to see
+    both folders."""
     from ..sources import walk
 
     files = walk.read(spark, [source]).where("accepted").select("path", "relpath").repartition(transfers)
+    facts = F.to_json("media") if media else F.lit(None).cast("string")
+    if media:
+        files = probed(files, "relpath")
+    files = files.select("path", "relpath", facts.alias("facts"))
 
     def run(batches):
         for b in batches:
             out = []
-            for path, rel in zip(b.column("path").to_pylist(), b.column("relpath").to_pylist()):
+            for path, rel, known in zip(*(b.column(c).to_pylist() for c in ("path", "relpath", "facts"))):
                 try:
-                    facts = copy_file(path, os.path.join(target, rel), chunk, full)
+                    facts = copy_file(path, os.path.join(target, rel), chunk, full, json.loads(known or "null") or None)
                     out.append((path, facts["size"], facts["md5"], None))
                 except OSError as e:
                     out.append((path, None, None, str(e)))
@@ -191,6 +198,3 @@ def copy_tree(spark, source: str, target: str, transfers: int = 4, chunk: int =
 
     return files.mapInArrow(run, "path string, size long, md5 string, error string")
 
-
-def data_names(names: Iterable[str]) -> list[str]:
-    return [n for n in names if not is_sidecar(n)]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import removal_regex
 from ..functions.scalars import cadence_prefix, cadence_rank, cadence_tail, swaps
-from ..operators.trees import in_directories
+from ..operators.trees import files_below
 
 #: Kinds in the order of equal waste.
 KINDS = ("tree", "overlap", "group")
@@ -27,12 +27,12 @@ def oriented(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def queue(trees: DataFrame, block_rows: DataFrame, group_rows: DataFrame) -> DataFrame:
-    """kind, waste, keep and drop of each action, most reclaimable first; ties go tree,
-    overlap, group, then by name. group_rows: size, n, first_path, wasted."""
+    """kind, waste, keep and drop of each action, in no order: see best_actions. group_rows:
+    size, n, first_path, wasted."""
     t = oriented(trees, "dir_a", "dir_b").select(F.lit("tree").alias("kind"), F.lit(0).alias("kind_rank"), F.col("total_size").alias("waste"), "keep", "drop", F.col("file_count").alias("items"))
     o = oriented(block_rows, "col_a", "col_b").select(F.lit("overlap").alias("kind"), F.lit(1).alias("kind_rank"), F.col("shared_bytes").alias("waste"), "keep", F.concat_ws("#", "drop", "block_no").alias("drop"), "items")
     g = group_rows.select(F.lit("group").alias("kind"), F.lit(2).alias("kind_rank"), F.col("wasted").alias("waste"), F.col("first_path").alias("keep"), F.lit("").alias("drop"), F.col("n").alias("items"))
-    return t.unionByName(o).unionByName(g).orderBy(F.desc("waste"), "kind_rank", "keep", "drop")
+    return t.unionByName(o).unionByName(g)
 
 
 def totals(queue_rows: DataFrame) -> DataFrame:
@@ -51,24 +51,28 @@ def keep_order(member_rows: DataFrame) -> DataFrame:
     return member_rows.join(context, "gid").withColumn("rank", F.struct(rank.alias("c"), F.col("source").alias("s"), F.split("path", "/").alias("k"))).drop("_all", "_same")
 
 
-def _first(ranked: DataFrame) -> DataFrame:
-    """ranked with `first`: whether a row is its group's most preferred. An aggregate and a
-    join: a group of any size is combined before it is shuffled."""
-    best = ranked.groupBy("gid").agg(F.min_by("path", "rank").alias("_best"))
-    return ranked.join(best, "gid").withColumn("first", F.col("path") == F.col("_best")).drop("_best")
+def best_copies(member_rows: DataFrame, *more: Column) -> DataFrame:
+    """gid and `best`, the path of its most preferred copy (the first of keep_order), with other
+    aggregates. One aggregate: a group of any size is combined before it is shuffled."""
+    path = F.col("path")
+    place = lambda c: F.struct(c.alias("c"), F.col("source").alias("s"), F.split("path", "/").alias("k"))
+    same = (F.count(cadence_rank(path)) == F.count(F.lit(1))) & (F.min(cadence_prefix(path)) == F.max(cadence_prefix(path))) & (F.min(cadence_tail(path)) == F.max(cadence_tail(path)))
+    best = F.when(same, F.min_by("path", place(-cadence_rank(path)))).otherwise(F.min_by("path", place(F.lit(0))))
+    return member_rows.groupBy("gid").agg(best.alias("best"), *more)
 
 
 def keep_first(member_rows: DataFrame) -> DataFrame:
     """gid, path, size and action: keep for the most preferred of each group, else dispose."""
-    return _first(keep_order(member_rows)).select("gid", "path", "size", F.when(F.col("first"), "keep").otherwise("dispose").alias("action"))
+    rows = member_rows.join(best_copies(member_rows), "gid")
+    return rows.select("gid", "path", "size", F.when(F.col("path") == F.col("best"), "keep").otherwise("dispose").alias("action"))
 
 
 def by_glob(member_rows: DataFrame, glob: str) -> DataFrame:
     """Matching copies go; if all match, the most preferred stays; if none does, all stay."""
-    rows = _first(keep_order(member_rows)).withColumn("hit", F.col("path").rlike(removal_regex(glob)))
-    every = rows.groupBy("gid").agg(F.bool_and("hit").alias("_all"))
-    gone = F.col("hit") & ~(F.col("_all") & F.col("first"))
-    return rows.join(every, "gid").select("gid", "path", "size", F.when(gone, "dispose").otherwise("keep").alias("action"))
+    hit = F.col("path").rlike(removal_regex(glob))
+    rows = member_rows.join(best_copies(member_rows, F.bool_and(hit).alias("every")), "gid")
+    gone = hit & ~(F.col("every") & (F.col("path") == F.col("best")))
+    return rows.select("gid", "path", "size", F.when(gone, "dispose").otherwise("keep").alias("action"))
 
 
 def glob_side(pairs: DataFrame, a: str, b: str, glob: str) -> DataFrame:
@@ -80,8 +84,25 @@ def glob_side(pairs: DataFrame, a: str, b: str, glob: str) -> DataFrame:
 
 def tree_disposals(files: DataFrame, dropped: DataFrame) -> DataFrame:
     """Paths below dropped directories (column drop)."""
-    dirs = dropped.select(F.col("drop").alias("dir")).distinct()
-    return in_directories(files).join(dirs, "dir").select("path").distinct()
+    return files_below(files, dropped.select(F.col("drop").alias("dir")).distinct()).select("path").distinct()
+
+
+def dropped_files(sides: DataFrame) -> DataFrame:
+    """Paths of oriented block files (with side, col_a, col_b) that lie on the side to drop."""
+    return sides.where(F.col("drop") == F.when(F.col("side") == "a", F.col("col_a")).otherwise(F.col("col_b"))).select("path").distinct()
+
+
+def tree_items(files: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The items of tree actions: kind, keep, drop, path and size of each file below a dropped directory."""
+    actions = pairs.select("keep", "drop").distinct()
+    rows = files_below(files, actions.select(F.col("drop").alias("dir")).distinct()).select(F.col("dir").alias("drop"), "path", "size")
+    return rows.join(actions, "drop").select(F.lit("tree").alias("kind"), "keep", "drop", "path", "size")
+
+
+def group_items(member_rows: DataFrame) -> DataFrame:
+    """The items of group actions: kind, keep (the most preferred copy), drop, path and size of the others."""
+    rows = member_rows.join(best_copies(member_rows), "gid").where("path <> best")
+    return rows.select(F.lit("group").alias("kind"), F.col("best").alias("keep"), F.lit("").alias("drop"), "path", "size")
 
 
 def disposal_plan(files: DataFrame, wanted: dict[str, DataFrame], evidence: str = "content") -> DataFrame:
@@ -96,12 +117,13 @@ def disposal_plan(files: DataFrame, wanted: dict[str, DataFrame], evidence: str
     if named is None:
         raise ValueError("no action")
     named = named.groupBy("path").agg(F.min("k").alias("k"))
-    rows = files.withColumn("gid", F.concat_ws(":", "size", "md5")).join(named, "path", "left")
-    alive = rows.groupBy("gid").agg(F.bool_or(F.col("k").isNull()).alias("alive"))
-    rows = _first(keep_order(rows.join(alive, "gid")))
-    kept = ~F.col("alive") & F.col("first") | F.col("md5").isNull()
+    rows = files.select("path", "size", "md5", "source", F.concat_ws(":", "size", "md5").alias("gid")).join(named, "path", "left")
+    # only contents that are named matter; of those, who is alive and who is preferred
+    known = best_copies(rows, F.bool_or(F.col("k").isNull()).alias("alive"))
+    rows = rows.where("k is not null").join(known, "gid")
+    kept = ~F.col("alive") & (F.col("path") == F.col("best")) | F.col("md5").isNull()
     reason = F.when(kept, "survivor").otherwise(F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1))
-    return rows.where("k is not null").select("path", "size", F.when(kept, "keep").otherwise("dispose").alias("action"), reason.alias("reason"), F.lit(evidence).alias("evidence"))
+    return rows.select("path", "size", F.when(kept, "keep").otherwise("dispose").alias("action"), reason.alias("reason"), F.lit(evidence).alias("evidence"))
 
 
 def live_items(item_rows: DataFrame, block_file_rows: DataFrame, deleted: DataFrame) -> DataFrame:

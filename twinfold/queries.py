@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .functions import globs, media, paths, rules, scalars
+from .lineage import cut
 from .operators import groups, hashing, overlap, trees
 from .plans import queue, report
 from .streaming import dedup
@@ -20,6 +21,11 @@ def _bk(spark, d):
     return catalog.backup_rotation(catalog.table(spark, d, "documents"))
 
 
+def _held(spark, d):
+    """The rotation's files, written once: what is made of them several times reads no text."""
+    return cut(_bk(spark, d))
+
+
 # --- SQL pieces -----------------------------------------------------------------
 
 _FILES = """files as (
@@ -289,27 +295,47 @@ _PAIR = ["dir_a", "dir_b", "file_count", "total_size"]
 
 @_query("tree_pairs_fast", f"with {_tree_pairs('mtime')} select dir_a, dir_b, file_count, total_size from pairs")
 def tree_pairs_fast(spark, d):
-    return trees.identical_trees(_bk(spark, d), "fast", prune=False).select(*_PAIR)
+    return trees.identical_trees(_held(spark, d), "fast", prune=False).select(*_PAIR)
 
 
 @_query("tree_pairs_content", f"with {_tree_pairs('md5')} select dir_a, dir_b, file_count, total_size from pairs")
 def tree_pairs_content(spark, d):
-    return trees.identical_trees(_bk(spark, d), "content", prune=False).select(*_PAIR)
+    return trees.identical_trees(_held(spark, d), "content", prune=False).select(*_PAIR)
 
 
 @_query("tree_pairs_undominated", f"with {_tree_pairs('md5')}{_UNDOMINATED} select dir_a, dir_b, file_count, total_size from best")
 def tree_pairs_undominated(spark, d):
-    return trees.identical_trees(_bk(spark, d), "content").select(*_PAIR)
+    return trees.identical_trees(_held(spark, d), "content").select(*_PAIR)
 
 
 @_query("tree_guard", f"""with {_tree_pairs('mtime')} select dir_a, dir_b, file_count, total_size from pairs where dir_a not in (select dir from ind where size < 300) and dir_b not in (select dir from ind where size < 300)""")
 def tree_guard(spark, d):
     """Directories with a file that a filter would hide are no tree duplicates."""
-    files = _bk(spark, d)
+    files = _held(spark, d)
     gaps = trees.incomplete_directories(files.withColumn("accepted", F.col("size") >= 300))
     return trees.identical_trees(files, "fast", prune=False, incomplete=gaps).select(*_PAIR)
 
 
+_EXACT = f"""{_TREE}, {_members('bk')}, stats as (select dir, count(*) as n, sum(size)::bigint as bytes from ind group by dir),
+held as (select i.dir, m.gid, count(*) as c from ind i join mem m on i.path = m.path group by i.dir, m.gid),
+sets as (select dir, sum(c) as n, md5(string_agg(gid{{}}, chr(10) order by gid)) as fp from held group by dir),
+prints as (select s.dir, s.n, s.bytes, t.fp from stats s join sets t on s.dir = t.dir and s.n = t.n)
+select a.dir as dir_a, b.dir as dir_b, a.n as file_count, a.bytes as total_size from prints a join prints b on a.fp = b.fp and a.n = b.n and a.dir < b.dir
+where not starts_with(b.dir, a.dir || '/') and not starts_with(a.dir, b.dir || '/'){{}}"""
+
+
+@_query("tree_pairs_coverage", "with " + _EXACT.format("", ""))
+def tree_pairs_coverage(spark, d):
+    files = _held(spark, d)
+    return trees.covering_trees(files, groups.members(files), prune=False).select(*_PAIR)
+
+
+@_query("tree_pairs_coverage_strict", "with " + _EXACT.format(" || chr(9) || c", " and a.bytes = b.bytes"))
+def tree_pairs_coverage_strict(spark, d):
+    files = _held(spark, d)
+    return trees.covering_trees(files, groups.members(files), prune=False, strict=True).select(*_PAIR)
+
+
 _COVER = f"""{_TREE}, {_members('bk')}, stats as (select dir, count(*) as n, sum(size)::bigint as bytes from ind group by dir),
 home as (select distinct gid, root, regexp_replace(path, '/[^/]*$', '') as dir from mem),
 capped as (select * from (select *, row_number() over (partition by gid order by dir) as k from home) where k <= 50),
@@ -325,21 +351,47 @@ found as (select s.dir_a, s.dir_b, s.file_count, s.total_size from sized s join
 select * from found"""
 
 
-@_query("tree_pairs_coverage", "with " + _COVER.format("", ""))
-def tree_pairs_coverage(spark, d):
-    files = _bk(spark, d)
-    return trees.covering_trees(files, groups.members(files), prune=False).select(*_PAIR)
+@_query("tree_pairs_lifted", "with " + _COVER.format("", ""))
+def tree_pairs_lifted(spark, d):
+    """The bounded form: 50 parents, 12 levels."""
+    files = _held(spark, d)
+    return trees.lifted_trees(files, groups.members(files), prune=False).select(*_PAIR)
 
 
-@_query("tree_pairs_coverage_strict", "with " + _COVER.format("where ca = cb", " and s.total_size = s.other"))
-def tree_pairs_coverage_strict(spark, d):
-    files = _bk(spark, d)
-    return trees.covering_trees(files, groups.members(files), prune=False, strict=True).select(*_PAIR)
+@_query("tree_pairs_lifted_strict", "with " + _COVER.format("where ca = cb", " and s.total_size = s.other"))
+def tree_pairs_lifted_strict(spark, d):
+    files = _held(spark, d)
+    return trees.lifted_trees(files, groups.members(files), prune=False, strict=True).select(*_PAIR)
+
+
+#: Each order is a directory of its lines as files, so few contents make very large classes.
+_ORDERS = """files as (select distinct '/o' || l_orderkey as dir, l_linenumber as entry, l_linenumber * 10 as size from lineitem),
+dirs as (select dir, count(*) as n, sum(size)::bigint as bytes, string_agg(entry::varchar, ',' order by entry) as fp from files group by dir),
+tops as (select fp, min(dir) as class_id, count(*) as dirs from dirs where n >= 2 group by fp having count(*) > 1)"""
+
+
+def _orders(spark, d):
+    rows = catalog.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    rel = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))
+    return rows.select(F.concat(F.lit("/"), rel).alias("path"), rel.alias("relpath"), F.lit("/").alias("root"), (F.col("l_linenumber") * 10).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.col("l_linenumber").cast("string").alias("md5"))
+
+
+@_query("tree_classes", f"with {_ORDERS} select d.dir, t.class_id, d.n as file_count, d.bytes as total_size, t.dirs from dirs d join tops t on d.fp = t.fp")
+def tree_classes(spark, d):
+    """Classes of thousands of identical directories, a row for each directory."""
+    return trees.identical_classes(_orders(spark, d), "content").select("dir", "class_id", F.col("n").alias("file_count"), F.col("bytes").alias("total_size"), "dirs")
+
+
+@_query("tree_stars", f"with {_ORDERS} select t.class_id as dir_a, d.dir as dir_b, d.n as file_count, d.bytes as total_size from dirs d join tops t on d.fp = t.fp where t.dirs > 100 and d.dir <> t.class_id"
+  " union all select a.dir, b.dir, a.n, a.bytes from dirs a join tops t on a.fp = t.fp join dirs b on a.fp = b.fp and a.dir < b.dir where t.dirs <= 100")
+def tree_stars(spark, d):
+    """Pairs of the same: every two of a class of up to 100, stars beyond."""
+    return trees.pairs_of(trees.identical_classes(_orders(spark, d), "content"), 100).select(*_PAIR)
 
 
 @_query("tree_pairs_reoriented", f"with {_tree_pairs('md5')}{_UNDOMINATED} select case when {_swap('dir_a', 'dir_b')} then dir_b else dir_a end as keep, case when {_swap('dir_a', 'dir_b')} then dir_a else dir_b end as drop_dir, total_size from best")
 def tree_pairs_reoriented(spark, d):
-    pairs = trees.identical_trees(_bk(spark, d), "content")
+    pairs = trees.identical_trees(_held(spark, d), "content")
     return queue.oriented(pairs, "dir_a", "dir_b").select("keep", F.col("drop").alias("drop_dir"), "total_size")
 
 
@@ -351,7 +403,7 @@ _PART = f"{_BK}, part as (select * from bk where source <> ascii(substr(md5, 3,
 
 def _partial(spark, d):
     """Each content in two of the three roots, by a digit of its hash."""
-    return _bk(spark, d).where(F.col("source") != F.ascii(F.substring("md5", 3, 1)) % 3)
+    return cut(_bk(spark, d).where(F.col("source") != F.ascii(F.substring("md5", 3, 1)) % 3))
 
 
 @_query("overlap_blocks", f"with {_PART}, {_members('part')}{_BLOCKS} select col_a, col_b, block_no::integer as block_no, count(*) as items, sum(size)::bigint as shared_bytes from items group by 1, 2, 3")
@@ -373,7 +425,7 @@ def overlap_files(spark, d):
 
 
 def _actions(spark, d):
-    files = _bk(spark, d)
+    files = _held(spark, d)
     rows = groups.members(files)
     pairs = trees.identical_trees(files, "content")
     blocks = overlap.blocks(overlap.items(rows, F.col("root")))
@@ -425,12 +477,86 @@ select n.path, b.size, case when w.c = g.c and f.path is not null then 'keep' el
   case when w.c = g.c and f.path is not null then 'survivor' when kind = 0 then 'tree' else 'group' end as reason
 from named n join bk b using (path) join whole w on b.size || ':' || b.md5 = w.gid join gone g on w.gid = g.gid left join firsts f on n.path = f.path""")
 def disposal_plan(spark, d):
-    files = _bk(spark, d)
-    pairs = queue.oriented(trees.identical_trees(files, "content"), "dir_a", "dir_b")
+    files = _held(spark, d)
+    pairs = queue.oriented(cut(trees.identical_trees(files, "content")), "dir_a", "dir_b")
     gone = queue.keep_first(groups.members(files)).where("action = 'dispose'")
     return queue.disposal_plan(files, {"tree": queue.tree_disposals(files, pairs), "group": gone}).drop("evidence")
 
 
+# --- partial overlap with something left over, and the plans made of it ------------------
+
+
+#: A third root holds some of the contents, so some groups lie in three columns and in no block.
+_THIRDS = f"{_BK}, part as (select * from bk where source <> ascii(substr(md5, 3, 1)) % 3 or substr(md5, 4, 1) = '7')"
+
+
+def _thirds(spark, d):
+    return cut(_bk(spark, d).where((F.col("source") != F.ascii(F.substring("md5", 3, 1)) % 3) | (F.substring("md5", 4, 1) == "7")))
+
+
+@_query("overlap_loose", f"with {_THIRDS}, {_members('part')}{_BLOCKS} select distinct gid, size from mem where gid not in (select gid from items)")
+def overlap_loose(spark, d):
+    """Groups that no block absorbs, as they lie in three columns."""
+    rows = groups.members(_thirds(spark, d))
+    return overlap.remaining(rows.select("gid", "size").distinct(), overlap.items(rows, F.col("root")))
+
+
+_GONE_SIDES = f"""{_THIRDS}, {_members('part')}{_BLOCKS},
+sides as (select i.gid, m.path, m.size, m.md5, m.source, case when m.root = i.col_a then 'a' else 'b' end as side, case when {_swap('col_a', 'col_b')} then 'a' else 'b' end as drop_side
+  from items i join mem m on i.gid = m.gid where m.root in (i.col_a, i.col_b))"""
+
+
+@_query("overlap_plan", f"with {_GONE_SIDES} select path, size, 'dispose' as action, 'overlap' as reason from sides where side = drop_side")
+def overlap_plan(spark, d):
+    """Column deletion: the less preferred side of every block goes. Each content stays on the other."""
+    files = _thirds(spark, d)
+    rows = groups.members(files)
+    items = overlap.items(rows, F.col("root"))
+    gone = queue.dropped_files(queue.oriented(overlap.block_files(items, rows, F.col("root")), "col_a", "col_b"))
+    return queue.disposal_plan(files, {"overlap": gone}).drop("evidence")
+
+
+@_query("glob_sides", f"""with {_tree_pairs('md5')}{_UNDOMINATED} select dir_a, dir_b, case when regexp_full_match(dir_a, '/bk/daily.*') then dir_a else dir_b end as drop_dir from best
+  where regexp_full_match(dir_a, '/bk/daily.*') <> regexp_full_match(dir_b, '/bk/daily.*')""")
+def glob_sides(spark, d):
+    pairs = trees.identical_trees(_held(spark, d), "content")
+    return queue.glob_side(pairs, "dir_a", "dir_b", "/bk/daily*").select("dir_a", "dir_b", F.col("drop").alias("drop_dir"))
+
+
+_DELETED = "regexp_matches(path, '[13]\\.txt$')"
+
+
+@_query("live_items", f"""with {_GONE_SIDES} select gid, col_a, col_b from items where gid in (
+  select gid from sides where not {_DELETED} group by gid having bool_or(side = 'a') and bool_or(side = 'b'))""")
+def live_items(spark, d):
+    """Items of blocks that are not moot after some files went."""
+    files = _thirds(spark, d)
+    rows = groups.members(files)
+    items = overlap.items(rows, F.col("root"))
+    gone = files.where(F.col("path").rlike("[13]\\.txt$"))
+    return queue.live_items(items, overlap.block_files(items, rows, F.col("root")), gone).select("gid", "col_a", "col_b")
+
+
+@_query("live_groups", f"with {_BK}, {_members('bk')}, rest as (select * from mem where not {_DELETED}) select gid, path from rest where gid in (select gid from rest group by gid having count(*) > 1)")
+def live_groups(spark, d):
+    files = _held(spark, d)
+    return queue.live_groups(groups.members(files), files.where(F.col("path").rlike("[13]\\.txt$"))).select("gid", "path")
+
+
+@_query("chosen_plan", f"""with {_BK}, {_members('bk')}{_RANKED} select gid, path, size, case when k in (1, 3) and not (k = 1 and n_all <= 2) then 'dispose' else 'keep' end as action from ranked""")
+def chosen_plan(spark, d):
+    """Places 0 and 2 of every group go; one copy stays."""
+    return queue.chosen(groups.members(_held(spark, d)), [0, 2])
+
+
+@_query("action_items", f"""with {_tree_pairs('md5')}{_UNDOMINATED}, drops as (select distinct case when {_swap('dir_a', 'dir_b')} then dir_b else dir_a end as keep, case when {_swap('dir_a', 'dir_b')} then dir_a else dir_b end as dir from best)
+select 'tree' as kind, d.keep, d.dir as drop_dir, i.path, i.size from drops d join ind i on i.dir = d.dir""")
+def action_items(spark, d):
+    """The files that each tree action disposes of."""
+    files = _held(spark, d)
+    return queue.tree_items(files, queue.oriented(trees.identical_trees(files, "content"), "dir_a", "dir_b")).select("kind", "keep", F.col("drop").alias("drop_dir"), "path", "size")
+
+
 # --- reports, media, streams --------------------------------------------------------------
 
 
@@ -464,7 +590,33 @@ def report_json_rows(spark, d):
 
 @_query("tree_report_csv", f"with {_tree_pairs('md5')}{_UNDOMINATED} select 'tree' as type, total_size as size_bytes, {_human('total_size')} as size_human, file_count, dir_a, dir_b from best")
 def tree_report_csv(spark, d):
-    return report.tree_csv(trees.identical_trees(_bk(spark, d), "content"))
+    return report.tree_csv(trees.identical_trees(_held(spark, d), "content"))
+
+
+@_query("tree_report_json", f"""with {_tree_pairs('md5')}{_UNDOMINATED} select dir_a, dir_b, '{{{{"total_size":' || total_size || ',"file_count":' || file_count || ',"dirs":["' || dir_a || '","' || dir_b || '"]}}}}' as json from best""".replace("{{", "{").replace("}}", "}"))
+def tree_report_json(spark, d):
+    return report.tree_json(trees.identical_trees(_held(spark, d), "content"))
+
+
+@_query("tree_report_columns", f"with {_tree_pairs('md5')}{_UNDOMINATED} select dir_a, dir_b, total_size, {_human('total_size')} || '  (' || file_count || ' files)' || chr(10) || '  ' || dir_a || chr(10) || '  ' || dir_b as text from best")
+def tree_report_columns(spark, d):
+    return report.tree_columns(trees.identical_trees(_held(spark, d), "content"))
+
+
+@_query("largest_groups", f"with {_FILES} select size, md5, count(*) as n from files group by size, md5 having count(*) > 1 order by size desc, md5 limit 20")
+def largest_groups(spark, d):
+    return groups.largest_first(groups.groups(_docs(spark, d))).select("size", "md5", "n").limit(20)
+
+
+@_query("tree_seeded", f"""with {_tree_pairs('md5')}, seeds as (select * from pairs where file_count >= 5), other as (select * from pairs where file_count < 5)
+select dir_a, dir_b, file_count, total_size from other p where not exists (select 1 from pairs q where (q.dir_a <> p.dir_a or q.dir_b <> p.dir_b) and (
+  (starts_with(p.dir_a || '/', q.dir_a || '/') and starts_with(p.dir_b || '/', q.dir_b || '/')) or
+  (starts_with(p.dir_a || '/', q.dir_b || '/') and starts_with(p.dir_b || '/', q.dir_a || '/'))))""")
+def tree_seeded(spark, d):
+    """A later pass: pairs known before are not given again, and drop what is below them."""
+    files = _held(spark, d)
+    seeds = cut(trees.identical_trees(files, "content", prune=False).where("file_count >= 5"))
+    return trees.identical_trees(files, "content", seeds=seeds).select(*_PAIR)
 
 
 @_query("media_facts", """select doc_id, 1920 + doc_id % 7 as width, 1080 as height, case when doc_id % 2 = 0 then 12.5 else doc_id + 0.25 end::double as duration_sec,

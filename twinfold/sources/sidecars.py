@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +35,26 @@ def parsed(texts: DataFrame, suffix: str = SUFFIX) -> DataFrame:
     return facts.where("s is not null and s.size is not null").select("path", "s.*")
 
 
-def read(spark, folder: str, suffix: str = SUFFIX) -> DataFrame:
-    """All sidecars below a folder that Spark can read. Spark's file sources pass over names
-    that begin with `.` or `_`; the hash cascade then reads such files themselves."""
-    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
-    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"\A[a-z]+:/+", "/")
-    return parsed(texts.select(path.alias("path"), "value"), suffix)
+def read(spark, *folders: str, suffix: str = SUFFIX) -> DataFrame:
+    """All sidecars below the folders, those of hidden files as well. Executors have to see them;
+    what cannot be read or is no text counts as broken."""
+    from . import walk
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for p in b.column("path").to_pylist():
+                try:
+                    with open(p, encoding="utf-8") as f:
+                        texts.append(f.read())
+                except (OSError, UnicodeDecodeError):
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(texts, pa.string())], ["path", "value"])
+
+    found = walk.read(spark, list(folders), sidecars=True).where("error is null").select("path")
+    return parsed(found.mapInArrow(run, "path string, value string"), suffix)
 
 
-def as_json(facts: DataFrame) -> DataFrame:
-    """path and the JSON text of each sidecar, without null fields."""
-    return facts.select("path", F.to_json(F.struct(*[c for c in facts.columns if c != "path"]), {"ignoreNullFields": "true"}).alias("value"))
+def json_text(facts: dict) -> str:
+    """The text of a sidecar."""
+    return json.dumps({k: v for k, v in facts.items() if v is not None}, indent=2) + "\n"

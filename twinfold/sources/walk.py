@@ -34,6 +34,7 @@ class WalkReader(DataSourceReader):
         self.low, self.high = int(options.get("minsize", 0)), int(options.get("maxsize", 0))
         self.recursive = options.get("recursive", "true") == "true"
         self.one_device = options.get("onefilesystem", "false") == "true"
+        self.sidecars = options.get("sidecars", "false") == "true"
 
     def partitions(self):
         out = []
@@ -75,13 +76,14 @@ class WalkReader(DataSourceReader):
                     yield row(error=str(e))
                     continue
                 stack += [(os.path.join(path, n), hidden) for n in names]
-            elif stat.S_ISREG(at.st_mode) and not is_sidecar(os.path.basename(path)):
+            elif stat.S_ISREG(at.st_mode) and is_sidecar(os.path.basename(path)) == self.sidecars:
                 fits = at.st_size >= self.low and not (self.high and at.st_size > self.high)
                 yield row(at.st_size, at, not hidden and fits)
 
 
 class WalkSource(DataSource):
-    """format("walk"): options roots and rules as JSON, minsize, maxsize, recursive, onefilesystem."""
+    """format("walk"): options roots and rules as JSON, minsize, maxsize, recursive, onefilesystem,
+    sidecars (only these, else none)."""
 
     @classmethod
     def name(cls) -> str:
@@ -99,12 +101,12 @@ def root_list(paths: list[str]) -> list[str]:
     return list(dict.fromkeys(os.path.abspath(p) for p in paths))
 
 
-def read(spark: SparkSession, roots: list[str], rules: list[Rule] = (), min_size: int = 0, max_size: int = 0, recursive: bool = True, one_file_system: bool = False) -> DataFrame:
-    """All regular files below the roots; a file below two roots belongs to the inner one.
+def read(spark: SparkSession, roots: list[str], rules: list[Rule] = (), min_size: int = 0, max_size: int = 0, recursive: bool = True, one_file_system: bool = False, sidecars: bool = False) -> DataFrame:
+    """All regular files below the roots (or, if asked for, their sidecars); a file below two roots belongs to the inner one.
     Links to one inode are all there: groups.first_of_inode drops the later ones."""
     spark.dataSource.register(WalkSource)
     options = {
         "roots": json.dumps(root_list(roots)), "rules": json.dumps([(r.pattern, r.exclude) for r in rules]), "minsize": str(min_size), "maxsize": str(max_size),
-        "recursive": str(recursive).lower(), "onefilesystem": str(one_file_system).lower(),
+        "recursive": str(recursive).lower(), "onefilesystem": str(one_file_system).lower(), "sidecars": str(sidecars).lower(),
     }
     return spark.read.format("walk").options(**options).load()
