@@ -52,10 +52,21 @@ def test_against_brute_force(spark, monkeypatch, block):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as spans")
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "0 as doc_id")
     got = decontaminate.hit_spans(docs, bench).collect()
-    found = sorted(((r.doc_id, r.n_words, sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2])), sorted(r["items"])) for r in got), key=str)
+    found = sorted(((r.row.doc_id, r.n_words, sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2])), sorted(r["items"])) for r in got), key=str)
     assert found == brute(rows, items)
 
 
+@pytest.mark.parametrize("block", [4_000_000, 60])
+def test_clashing_names(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (block,))
+    names = ("items", "spans", "n_words", "row", "a", "b", "key", "block", "text_key", "copies")
+    docs = spark.createDataFrame([(1, "solo here"), (2, None)], "doc_id long, text string").selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in names])
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(["solo", "duo", "solo", "x y z " * 20])], "item_id long, text string")
+    got = {r.row.doc_id: r for r in decontaminate.hit_spans(docs, bench, ("doc_id", "text", *names)).collect()}
+    assert got[1].spans == [0, 1] and got[1]["items"] == ["0", "2"] and got[2].spans == [] and got[2].n_words == 0
+    assert all(got[d].row[c] == f"{c}{d}" for d in (1, 2) for c in names) and got[1].row.text == "solo here"
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
