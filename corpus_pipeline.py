@@ -45,7 +45,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     got = decontaminate.hit_spans(docs, load(spark, sf_dir, "benchmark"), COLUMNS)
-    return got.where(F.size("spans") == 0).select(*COLUMNS)
+    return got.where(F.size("spans") == 0).select("row.*")
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
