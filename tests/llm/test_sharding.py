@@ -1,6 +1,7 @@
 import math
 import zlib
 
+import pytest
 import xxhash
 
 from twinfold.llm import sharding
@@ -47,5 +48,16 @@ def test_weights_and_parts(spark, monkeypatch):
         assert s == list(range(len(s)))
 
 
+def test_equal_rows_and_clashing_names(spark):
+    base = spark.createDataFrame([(7, "same", 1)] * 500 + [(k, "x", k) for k in range(100)], "doc_id long, row string, n long").selectExpr("*", "n as best", "n as part", "n as new")
+    got = sharding.number(sharding.assign(base, "doc_id", [1.0] * 3), "shard", ["doc_id"], 600).collect()
+    assert len(got) == 600 and all(r.best == r.part == r.new == r.n for r in got) and sum(r.row == "same" for r in got) == 500
+    for k in range(3):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    for f in (lambda: sharding.assign(base.withColumnRenamed("n", "shard"), "doc_id", [1.0]), lambda: sharding.number(base.withColumnRenamed("n", "slot"), "part", ["doc_id"], 9)):
+        with pytest.raises(ValueError):
+            f()
+
+
 def test_empty(spark):
     assert sharding.shard_documents(docs(spark).limit(0)).count() == 0

@@ -2,7 +2,7 @@
 
 Every shard gets a score for a key, -ln(u) / weight with u from a hash of key and
 shard; the smallest wins. A further shard wins its share of keys and moves no
-other. All expressions are built-in functions; two narrow shuffles number the rows.
+other. All expressions are built-in functions; three narrow shuffles number the rows.
 
 Nulls: a null key is the key '' ; a null text has no bytes. Equal rows get equal
 shards and different slots. An empty table gives an empty result.
@@ -26,30 +26,43 @@ def uniform(key: Column, shard: int, seed: str = "shard") -> Column:
     return (F.shiftrightunsigned(digest, 12).cast("double") + 0.5) / float(1 << 52)
 
 
+def _free(df: DataFrame, *names: str) -> None:
+    if taken := [n for n in names if n in df.columns]:
+        raise ValueError(f"columns that this adds are there already: {', '.join(taken)}")
+
+
 def assign(df: DataFrame, key: str, weights: list[float], seed: str = "shard") -> DataFrame:
-    """df with `shard` (from 0) and `grown_shard`: the shard with one more of mean weight."""
+    """df with `shard` (from 0) and `grown_shard`: the shard with one more of mean weight. Other
+    columns may have any names."""
     if not weights or any(w <= 0 for w in weights):
         raise ValueError("weights must be positive, and at least one")
+    _free(df, "shard", "grown_shard")
     n = len(weights)
     score = lambda i, w: -F.log(uniform(df[key], i, seed)) / float(w)
     each = [F.struct(score(i, w).alias("s"), F.lit(i).alias("i")) for i, w in enumerate(weights)]
-    out = df.withColumn("_best", F.least(*each) if n > 1 else each[0]).withColumn("shard", F.col("_best.i").cast("int"))
-    new = score(n, sum(weights) / n)
-    return out.withColumn("grown_shard", F.when(new < F.col("_best.s"), F.lit(n)).otherwise(F.col("shard")).cast("int")).drop("_best")
+    best = F.least(*each) if n > 1 else each[0]
+    out = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), best.alias("best"), score(n, sum(weights) / n).alias("new"))
+    grown = F.when(F.col("new") < F.col("best.s"), F.lit(n)).otherwise(F.col("best.i"))
+    return out.select("row.*", F.col("best.i").cast("int").alias("shard"), grown.cast("int").alias("grown_shard"))
 
 
 def number(df: DataFrame, group: str, order: list[str], rows: int) -> DataFrame:
-    """df with `slot`, gapless from 0 in each group. A group is split by a hash of
-    the order columns into parts of about SLOT_ROWS rows; part counts (few) give offsets."""
+    """df (of columns that can be grouped by) with `slot`, gapless from 0 in each group, in
+    whatever order. A group is split by a hash of the order columns into parts of about
+    SLOT_ROWS rows, whose counts (few) give offsets. Equal rows are one row with a count until
+    the end, so however many there are they burden no task."""
+    _free(df, "slot")
     parts = max(1, -(-rows // (SHARDS * SLOT_ROWS)))
-    spread = F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")
-    df = df.withColumn("_part", spread)
-    counts = df.groupBy(group, "_part").count()
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(group, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy(group, "_part").orderBy(*order)
-    ranked = df.withColumn("_rn", F.row_number().over(inner) - 1)
-    return ranked.join(counts, [group, "_part"]).withColumn("slot", (F.col("_off") + F.col("_rn")).cast("long")).drop("_part", "_off", "_rn")
+    one = df.groupBy(F.struct(*[df[c] for c in df.columns]).alias("row")).agg(F.count(F.lit(1)).alias("n"))
+    own = [F.col("row").getField(c) for c in order]
+    one = one.select("row", "n", F.col("row").getField(group).alias("g"), F.pmod(F.xxhash64(*own), F.lit(parts)).cast("int").alias("part"))
+    counts = one.groupBy("g", "part").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("g", "part", before(Window.partitionBy("g").orderBy("part")).alias("off"))
+    ranked = one.withColumn("rn", before(Window.partitionBy("g", "part").orderBy(*own, "row")))
+    first = F.col("off") + F.col("rn")
+    placed = ranked.join(counts, ["g", "part"]).select("row", F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"))
+    return placed.select("row.*", F.col("slot").cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
