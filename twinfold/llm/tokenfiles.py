@@ -33,6 +33,8 @@ from .common import cut, load, pick, running_totals, shared_dir, tidy
 from .tokens import encoded, encoder, vocabulary
 
 LENGTH, ROWS, END = 2048, 256, 1
+#: Bytes of text of a part, about.
+PART_BYTES = 64_000_000
 #: Parts that one task reads back, about.
 PARTS_READ = 4
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -140,9 +142,12 @@ class PartReader:
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, parts: int | None = None) -> DataFrame:
     """Writes all documents as parts of ascending doc_ids. One row for each part: part, n_ids,
     n_docs, which come to the driver as they are written (as many as there are parts, however
-    many documents). Texts are dealt out once, by ranges."""
+    many documents). Texts are dealt out once, by ranges, into `parts` or as many parts as
+    their bytes need, if that is more than Spark's number of shuffle partitions."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        total = docs.agg(F.sum(F.octet_length(docs["text"]))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     base = keyed_texts(docs).withColumn("tie", F.xxhash64("text"))
     dealt = base.repartitionByRange(parts, "did", "tie").sortWithinPartitions("did", "tie").select("did", "text")
 
