@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 import pytest
 
 from twinfold.llm import tokenfiles
@@ -42,7 +44,11 @@ def test_sequences_are_views(tmp_path, monkeypatch):
         filled = min(8, n - 8 * i)
         assert (ids[:filled] == every[8 * i : 8 * i + filled]).all() and not ids[filled:].any()
         assert not ids.flags.owndata
-    assert {len(b) for b in r.batches[:-1]} == {3}
+    whole = list(pa.ipc.open_stream(f"{tmp_path}/part-000000.tokens"))
+    assert {len(b) for b in whole[:-1]} == {3} and all(r.batch(i).equals(b) for i, b in reversed(list(enumerate(whole))))
+    monkeypatch.setattr(tokenfiles, "file_system", lambda folder: (pa.fs.SubTreeFileSystem(folder, pa.fs.LocalFileSystem()), ""))
+    far = tokenfiles.PartReader(str(tmp_path), 0)  # as a store that has no memory maps
+    assert [far.sequence(i)[0].tolist() for i in (5, 0, 11)] == [r.sequence(i)[0].tolist() for i in (5, 0, 11)]
     for x in r.index():
         for s, k, d in zip(x["start"].to_pylist(), x["n_tokens"].to_pylist(), x["doc_id"].to_pylist()):
             assert r.ids(s, k).tolist() == [*docs[d].tolist(), 1]

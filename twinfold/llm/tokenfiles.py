@@ -104,27 +104,40 @@ class PartWriter:
 
 
 class PartReader:
-    """Random access to a part. On a local or mounted folder all arrays are views of a memory map."""
+    """Random access to a part. All batches but the last are equally long in the file, so each is
+    read from its place alone, whatever the file system; on a local or mounted folder it is a
+    view of a memory map."""
 
     def __init__(self, folder: str, part: int):
         from pyarrow import fs
 
         self.fs, path = file_system(folder)
         name = f"{path}/part-{part:06d}"
-        local = isinstance(self.fs, fs.LocalFileSystem)
-        open_file = pa.memory_map if local else self.fs.open_input_file
-        self.source = open_file(f"{name}.tokens")
-        self.batches = list(ipc.open_stream(self.source))
-        self.docs_name, self.open_file = f"{name}.docs", open_file
-        self.length = self.batches[0].schema.field("ids").type.list_size if self.batches else LENGTH
+        self.open_file = pa.memory_map if isinstance(self.fs, fs.LocalFileSystem) else self.fs.open_input_file
+        self.source, self.docs_name = self.open_file(f"{name}.tokens"), f"{name}.docs"
+        self.schema = ipc.read_schema(self.source)
+        self.first = self.source.tell()
+        self.length = self.schema.field("ids").type.list_size
+        self.step, self.held = None, (-1, None)
 
     def index(self):
         with self.open_file(self.docs_name) as f:
             yield from ipc.open_stream(f)
 
+    def batch(self, i: int) -> pa.RecordBatch:
+        """Batch i; the last one asked for is kept."""
+        if self.held[0] != i:
+            if self.step is None:
+                self.source.seek(self.first)
+                ipc.read_message(self.source)
+                self.step = self.source.tell() - self.first
+            self.source.seek(self.first + i * self.step)
+            self.held = (i, ipc.read_record_batch(ipc.read_message(self.source), self.schema))
+        return self.held[1]
+
     def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
         """Ids (a view) and mask of sequence i."""
-        b, r = self.batches[i // ROWS], i % ROWS
+        b, r = self.batch(i // ROWS), i % ROWS
         flat = b.column("ids").flatten().to_numpy()
         return flat[r * self.length : (r + 1) * self.length], b.column("mask").flatten().slice(r * self.length, self.length)
 
@@ -132,7 +145,7 @@ class PartReader:
         """n ids from place `start` of the part: a view, unless they cross a batch."""
         size, out = ROWS * self.length, []
         while n:
-            flat = self.batches[start // size].column("ids").flatten().to_numpy()
+            flat = self.batch(start // size).column("ids").flatten().to_numpy()
             part = flat[start % size : start % size + n]
             out.append(part)
             start, n = start + len(part), n - len(part)
