@@ -41,6 +41,24 @@ def test_walk(spark, tmp_path):
     assert walk.root_list(["/a", "/a/", "/b"]) == ["/a", "/b"]
 
 
+def test_one_deep_directory_is_split(spark, tmp_path):
+    root = tmp_path / "r"
+    for k in range(30):
+        put(root / f"a/b/{k}/f.tmp", str(k))
+        put(root / f"a/b/{k}/deep/g", str(k))
+    put(root / "a/x", "x")
+    put(root / "a/c/d/e/f/h", "h")
+    every = [f"a/b/{k}/{n}" for k in range(30) for n in ("f.tmp", "deep/g")] + ["a/x", "a/c/d/e/f/h"]
+    assert len(walk.WalkReader({"roots": json.dumps([str(root)])}).partitions()) >= 30
+    assert rel(walk.read(spark, [str(root)])) == sorted(every)
+    assert rel(walk.read(spark, [str(root)], [Rule("/a/b", True)])) == ["a/c/d/e/f/h", "a/x"]
+    hidden = walk.read(spark, [str(root)], [Rule("/a/b", True)]).where("not accepted")
+    assert hidden.count() == 60
+    assert rel(walk.read(spark, [str(root)], recursive=False)) == []
+    inner = walk.read(spark, [str(root), str(root / "a/b/3")])
+    assert sorted(r.path for r in inner.where("source = 1").collect()) == [str(root / "a/b/3" / n) for n in ("deep/g", "f.tmp")] and inner.count() == 62
+
+
 def test_links_and_hashes(spark, tmp_path):
     put(tmp_path / "r/a", "same")
     os.link(tmp_path / "r/a", tmp_path / "r/b")

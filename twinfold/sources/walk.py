@@ -1,7 +1,7 @@
 """Files on disk as a table: a data source that reads metadata only, never contents.
 
-A partition is a top-level entry of a root, so directories are walked side by side.
-Rows come for all regular files (no links, pipes, sockets or devices); `accepted` tells
+A partition is an entry of a root, or of a directory some levels down where roots have few
+entries, so that even one large directory is walked side by side. Rows come for all regular files (no links, pipes, sockets or devices); `accepted` tells
 which of them the rules and bounds let through, so that a directory's real
 count stays known. Hidden names are included. Entries that cannot be read give a
 row with `error`.
@@ -22,9 +22,13 @@ from .sidecars import is_sidecar
 SCHEMA = "path string, relpath string, root string, size bigint, mtime bigint, inode bigint, dev bigint, source int, accepted boolean, error string"
 
 
+#: Partitions that the driver looks for, and levels that it goes down for them.
+PARTS, LEVELS = 64, 4
+
+
 class Part(InputPartition):
-    def __init__(self, source: int, root: str, entry: str):
-        self.source, self.root, self.entry = source, root, entry
+    def __init__(self, source: int, root: str, entry: str, hidden: bool = False):
+        self.source, self.root, self.entry, self.hidden = source, root, entry, hidden
 
 
 class WalkReader(DataSourceReader):
@@ -39,13 +43,31 @@ class WalkReader(DataSourceReader):
     def partitions(self):
         out = []
         for k, root in enumerate(self.roots):
-            try:
-                names = sorted(os.listdir(root))
-            except OSError:
-                names = [""]  # the reader reports it
-            out += [Part(k, root, n) for n in names]
+            out += self._below(Part(k, root, "")) or [Part(k, root, "")]
+        for _ in range(LEVELS):
+            if len(out) >= PARTS:
+                break
+            out = [p for q in out for p in (self._below(q) if q.entry and self._opens(q) else [q])]
         return out or [Part(0, "", "")]
 
+    def _opens(self, part: Part) -> bool:
+        """Whether a part is a directory that its reader would walk; what cannot be read it reports."""
+        path = os.path.join(part.root, part.entry)
+        try:
+            at = os.lstat(path)
+            same = not self.one_device or at.st_dev == os.stat(part.root).st_dev
+            return stat.S_ISDIR(at.st_mode) and self.recursive and same and not self._nested(part, path) and os.access(path, os.R_OK | os.X_OK)
+        except OSError:
+            return False
+
+    def _below(self, part: Part) -> list[Part]:
+        try:
+            names = sorted(os.listdir(os.path.join(part.root, part.entry)))
+        except OSError:
+            return [part]  # the reader reports it
+        hidden = part.hidden or bool(part.entry) and excluded_path(self.rules, part.entry)
+        return [Part(part.source, part.root, os.path.join(part.entry, n), hidden) for n in names]
+
     def _nested(self, part: Part, path: str) -> bool:
         """Whether a path belongs to another root within this one."""
         return any(path == r for k, r in enumerate(self.roots) if k != part.source and r.startswith(part.root.rstrip("/") + "/"))
@@ -54,7 +76,7 @@ class WalkReader(DataSourceReader):
         if not part.root:
             return
         device = os.stat(part.root).st_dev if self.one_device and os.path.isdir(part.root) else None
-        stack = [(os.path.join(part.root, part.entry) if part.entry else part.root, False)]
+        stack = [(os.path.join(part.root, part.entry) if part.entry else part.root, part.hidden)]
         while stack:
             path, hidden = stack.pop()
             rel = os.path.relpath(path, part.root)
