@@ -26,6 +26,15 @@ def test_random_signs(name):
     same(name, [*texts, "a <|endoftext|> b", None, "", "word " * 5000])
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_words_of_letters(name):
+    rng = random.Random(7)
+    assert tokens.encoder(tokens.vocabulary(name)).direct
+    word = lambda: "".join(rng.choice("aeiourstnlABCéÉßÿ×ªıŁ'.,!z") for _ in range(rng.randint(1, 14)))
+    same(name, [" ".join(word() for _ in range(40)) for _ in range(300)])
+    same(name, ["\n".join(word() for _ in range(5)) for _ in range(300)] + [" the  The\tTHE\n\nthe"])
+
+
 @pytest.mark.parametrize("name", NAMES)
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), max_size=5))
