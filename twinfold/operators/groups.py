@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import walk_key
+from .ranks import running
+
 #: What makes two files equal: without reading them, and by content.
 FAST, CONTENT = ("size", "mtime"), ("size", "md5")
 
@@ -69,10 +72,13 @@ def largest_first(group_rows: DataFrame, key: tuple[str, ...] = CONTENT) -> Data
 
 
 def progress(sizes: DataFrame) -> DataFrame:
-    """Collision sizes from the largest with the bytes done up to each. For reports: one
-    row for each size, which a single task adds up."""
-    w = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sizes.withColumn("done_bytes", F.sum(F.col("size") * F.col("n")).over(w).cast("long"))
+    """Collision sizes with the bytes done up to each, from the largest."""
+    return running(sizes, [], [-sizes["size"]], sizes["size"] * sizes["n"], "done_bytes")
+
+
+def walk_places(files: DataFrame) -> DataFrame:
+    """files with `place`: from 1, in the order of a walk of their source."""
+    return running(files, ["source"], [walk_key(files["path"])], F.lit(1), "place")
 
 
 def without(files: DataFrame, skipped: DataFrame) -> DataFrame:

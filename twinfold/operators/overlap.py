@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 BLOCK, LEAST = 30, 2
 
 
@@ -22,17 +24,12 @@ def items(member_rows: DataFrame, column: Column, block: int = BLOCK, least: int
     """gid, size, col_a, col_b and block_no of every absorbed group. Column pairs of fewer than
     `least` (two at least) groups stay out. Blocks hold the largest groups first.
 
-    A pair of large roots may hold most groups, so its groups are not numbered in one task: the
-    counts of its sizes give each size its first number, and groups are numbered within a size."""
+    A pair of large roots may hold most groups: they are numbered range by range."""
     block, least = block if block > 0 else BLOCK, max(2, least)
     shared = _sides(member_rows, column)
-    sizes = shared.groupBy("col_a", "col_b", "size").agg(F.count(F.lit(1)).alias("_n"))
-    enough = sizes.groupBy("col_a", "col_b").agg(F.sum("_n").alias("shared")).where(F.col("shared") >= least)
-    larger = Window.partitionBy("col_a", "col_b").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.join(enough, ["col_a", "col_b"]).withColumn("_first", F.coalesce(F.sum("_n").over(larger), F.lit(0)))
-    within = Window.partitionBy("col_a", "col_b", "size").orderBy("gid")
-    rows = shared.withColumn("_k", F.row_number().over(within) - 1).join(firsts.select("col_a", "col_b", "size", "_first"), ["col_a", "col_b", "size"])
-    return rows.select("gid", "size", "col_a", "col_b", F.floor((F.col("_first") + F.col("_k")) / block).cast("int").alias("block_no"))
+    enough = shared.groupBy("col_a", "col_b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least).select("col_a", "col_b")
+    rows = running(shared, ["col_a", "col_b"], [-shared["size"], shared["gid"]], F.lit(1), "k").join(enough, ["col_a", "col_b"])
+    return rows.select("gid", "size", "col_a", "col_b", F.floor((F.col("k") - 1) / block).cast("int").alias("block_no"))
 
 
 def blocks(item_rows: DataFrame) -> DataFrame:

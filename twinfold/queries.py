@@ -173,10 +173,7 @@ def files_under_dir(spark, d):
 
 @_query("walk_order", f"with {_FILES} select path, row_number() over (partition by source order by string_split(path, '/')) as place from files")
 def walk_order(spark, d):
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("source").orderBy(paths.walk_key(F.col("path"))))
-    return _docs(spark, d).select("path", place.cast("long").alias("place"))
+    return groups.walk_places(_docs(spark, d).select("path", "source")).select("path", "place")
 
 
 @_query("innermost_root", f"""with {_FILES} select path, case when starts_with(path, '/corpus/src2/en/') then '/corpus/src2/en'
