@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, load, pick, plain, slices, text_buffers, tidy
+from .common import held_out, lanes_of, load, pick, plain, slices, text_buffers, tidy
 from .language import caps
 
 PASSAGE = 512
@@ -46,30 +46,36 @@ def encode(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bag = np.concatenate([[0], np.cumsum(each)])
     n = int(bag[-1])
     own = raw[at[0] : at[-1]]
-    row = np.repeat(np.arange(len(size)), size)
-    inner = np.arange(len(own)) - (at[:-1] - at[0])[row]
-    passage = bag[row] + inner // PASSAGE
-    kind = _CLASS[own].astype(np.int64)
+    part = np.full(n, PASSAGE)
+    part[bag[1:] - 1] = size - (each - 1) * PASSAGE
+    passage = np.repeat(np.arange(n, dtype=np.int32), part)
+    heads = (np.cumsum(part) - part)[part > 0]  # where a passage begins
+    firsts = (at[:-1] - at[0])[size > 0]  # where a row begins
+    kind = _CLASS[own]
     out = np.zeros((n, WIDTH), np.float32)
-    length = np.bincount(passage, minlength=n).astype(np.float32)
+    length = part.astype(np.float32)
+    count = lambda places: np.bincount(places, minlength=n)[:n]
     if len(own) > 1:
-        same = passage[1:] == passage[:-1]
-        key = passage[1:] * PAIRS + kind[:-1] * CLASSES + kind[1:]
-        out[:, :PAIRS] = np.bincount(key[same], minlength=n * PAIRS)[: n * PAIRS].reshape(n, PAIRS)
-        repeat = np.bincount(passage[1:][same & (own[1:] == own[:-1])], minlength=n)
-        out[:, PAIRS] = repeat[:n]
+        key = passage[1:] * np.int32(PAIRS) + ((kind[:-1] << 4) | kind[1:])
+        pairs = np.bincount(key, minlength=n * PAIRS)[: n * PAIRS]
+        np.subtract.at(pairs, key[heads[heads > 0] - 1], 1)  # not of one passage
+        out[:, :PAIRS] = pairs.reshape(n, PAIRS)
+        equal = own[1:] == own[:-1]
+        equal[heads[heads > 0] - 1] = False
+        out[:, PAIRS] = count(passage[1:][equal])
     if len(own) > 8:
         # 8-grams that the passage holds more than once: repetition
-        g = own[:-7].astype(np.uint64)
-        for k in range(1, 8):
-            g = g * np.uint64(257) + own[k : len(own) - 7 + k]
-        slot = (g * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
-        whole = row[:-7] == row[7:]  # of one text
-        seen = np.unique(passage[:-7][whole] * 4096 + slot[whole]) // 4096
-        out[:, PAIRS + 1] = np.bincount(passage[:-7][whole], minlength=n)[:n] - np.bincount(seen, minlength=n)[:n]
-    before = np.full(len(own), 4)
-    before[1:] = np.where(row[1:] == row[:-1], kind[:-1], 4)
-    words = np.bincount(passage[(kind < 3) & (before >= 3)], minlength=n)[:n]
+        slot = (lanes_of(own)[: len(own) - 7] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int32)
+        whole = np.ones(len(own), bool)  # of one text
+        whole[(firsts[firsts > 0][:, None] - np.arange(1, 8)).clip(0).ravel()] = False
+        whole = whole[: len(own) - 7]
+        seen = np.zeros(n << 12, bool)
+        seen[((passage[: len(whole)] << 12) | slot)[whole]] = True
+        out[:, PAIRS + 1] = count(passage[: len(whole)][whole]) - np.count_nonzero(seen.reshape(n, 1 << 12), axis=1)
+    begins = kind < 3
+    begins[1:] &= kind[:-1] >= 3
+    begins[firsts] = kind[firsts] < 3
+    words = count(passage[begins])
     out[:, : PAIRS + 2] /= np.maximum(length, 1)[:, None]
     out[:, :PAIRS] = np.sqrt(out[:, :PAIRS])
     out[:, PAIRS + 2] = words / np.maximum(length, 1)
