@@ -32,6 +32,17 @@ _W = "".join(sorted(_WHITE))
 _PIECE = re.compile(rf"[{_W}]*[^{_W}]+|[{_W}]+")
 #: Characters that str.split() takes for white space and the tokenizers do not.
 _SPLIT_ONLY = re.compile("[\x1c-\x1f]")
+#: Pieces that are joined for one call.
+JOINED = 64
+#: Plain words: Latin letters, maybe one sign behind them, which is a pre-token of its own.
+_SIGNS = ".,!?;:"
+_WORDY = re.compile(rf"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([{_SIGNS}]?)")
+#: Words that a model is tried on.
+_SAMPLE = ("a", "I", "the", "The", "don", "Unbelievable", "xkcd", "ABBA", "internationalisation", "McDonald", "a" * 24, "\u00e9t\u00e9", "\u00c9cole", "\u00dcber\u00dfe", "ma\u00f1ana", "\u00ff\u00c0")
+#: Byte-level models see a byte as a printable sign: itself, or (bytes without one) the signs from 256 on, in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPACE_SIGN = _BYTE_SIGNS[32]
 #: Marks a word at the beginning of a line; no text has it.
 HEAD = "\ud800"
 
@@ -81,6 +92,21 @@ class Encoder:
         self.mark = plain(self.joint)
         self.mark_bytes = np.array(plain("\n"), np.uint32).tobytes()
         self.table = WordTable()
+        #: whether the model itself may be given plain words
+        self.direct = self._probed(plain)
+
+    def _probed(self, plain) -> bool:
+        """Tries whether the library does no more to plain words (see _WORDY) than lower them where
+        white space is dropped, write their bytes as signs, and give them to the model."""
+        keys = [lead + w + c for w in _SAMPLE for c in ("", *_SIGNS) for lead in ("", HEAD)]
+        self.direct = True
+        try:
+            self.sign_ids = {c: [x.id for x in self.tokenizer.model.tokenize(c)] for c in _SIGNS}
+            got = self.encode_pieces(keys)
+        except Exception:  # noqa: BLE001  a model of another kind
+            return False
+        actual = lambda k: k[1:] if k[0] == HEAD else k if self.words_only else " " + k
+        return all(np.frombuffer(got[k], np.uint32).tolist() == plain(actual(k)) for k in keys)
 
     def pieces(self, text: str) -> list[str]:
         """Keys of the pieces of a text. Where white space is dropped: the words. Else a key
@@ -140,8 +166,33 @@ class Encoder:
         return out
 
     def encode_pieces(self, keys: list[str]) -> dict[str, bytes]:
-        """Each piece encoded on its own. Simple ones are joined by a sign that none of them
-        has, which is an id of its own; the library is called once for many."""
+        """Each piece encoded on its own. Words of ASCII letters are one pre-token, which the model
+        is given as it is. Other simple pieces are joined by a sign that none of them has,
+        which is an id of its own, and the library is called once for many."""
+        out: dict[str, bytes] = {}
+        if self.direct:
+            ids, ends, done, other = [], [], [], []
+            whole, signs, tokenize = _WORDY.fullmatch, self.sign_ids, self.tokenizer.model.tokenize
+            space, lower = "" if self.words_only else _SPACE_SIGN, self.words_only
+            for k in keys:
+                lead = k[0] == HEAD
+                m = whole(k, lead)
+                if m is None:
+                    other.append(k)
+                    continue
+                word, sign = m.groups()
+                if lower:
+                    word = word.lower()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                ids += [x.id for x in tokenize(word if lead else space + word)]
+                if sign:
+                    ids += signs[sign]
+                ends.append(len(ids) * 4)
+                done.append(k)
+            raw = np.array(ids, np.uint32).tobytes()
+            out = {k: raw[a:b] for k, a, b in zip(done, [0, *ends[:-1]], ends)}
+            keys = other
         pieces = keys if self.words_only else list(map(self.actual, keys))
         if len(self.mark) != 1:
             simple = [False] * len(keys)
@@ -150,19 +201,20 @@ class Encoder:
             simple = [sign not in p and p.isprintable() for p in pieces]
         else:
             simple = [k[0] not in _WHITE and p[1:].isprintable() and " " not in p[1:] and p.strip() != "" for k, p in zip(keys, pieces)]
-        out: dict[str, bytes] = {}
         rest = [i for i, x in enumerate(simple) if not x]
         some = [i for i, x in enumerate(simple) if x] if rest else range(len(keys))
-        for i in range(0, len(some), 1024):
-            part = some[i : i + 1024]
-            ids = np.array(self.fast([self.joint.join([pieces[k] for k in part])], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark[0])
-            if len(cut) != len(part) - 1:
-                rest += part
-                continue
-            raw = ids.tobytes()
-            starts, ends = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(raw)]
-            out |= {keys[k]: raw[a:b] for k, a, b in zip(part, starts, ends)}
+        parts = [some[i : i + JOINED] for i in range(0, len(some), JOINED)]
+        for i in range(0, len(parts), 128):
+            texts = [self.joint.join([pieces[k] for k in part]) for part in parts[i : i + 128]]
+            for part, got in zip(parts[i : i + 128], self.fast(texts, add_special_tokens=False)):
+                ids = np.array(got.ids, np.uint32)
+                cut = np.flatnonzero(ids == self.mark[0])
+                if len(cut) != len(part) - 1:
+                    rest += part
+                    continue
+                raw = ids.tobytes()
+                starts, ends = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(raw)]
+                out |= {keys[k]: raw[a:b] for k, a, b in zip(part, starts, ends)}
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
             e = self.tokenizer.encode([pieces[k] for k in part], is_pretokenized=True, add_special_tokens=False)
@@ -376,7 +428,6 @@ def slice_ids(encoder: Encoder, raw: np.ndarray, at: np.ndarray) -> list[np.ndar
     even = ~np.repeat(odd, np.diff(before))
     use = np.flatnonzero(even)
     text, words = raw.tobytes(), Words(lanes_of(raw), starts, ends - starts, kind)
-    lead = ("",) if encoder.words_only else ("", HEAD, HEAD)
     line = encoder.mark_bytes
     flats, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for i in range(0, len(use), PORTION):
@@ -384,10 +435,12 @@ def slice_ids(encoder: Encoder, raw: np.ndarray, at: np.ndarray) -> list[np.ndar
 
         def encode(places):
             k = own[places]  # noqa: B023  called before own changes
-            keys = [lead[t] + text[a:b].decode() for t, a, b in zip(kind[k].tolist(), starts[k].tolist(), ends[k].tolist())]
+            keys = b"\n".join([text[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist())]).decode().split("\n")
+            if not encoder.words_only:
+                keys = [HEAD + w if t else w for t, w in zip(kind[k].tolist(), keys)]
             got = encoder.encode_pieces(list(dict.fromkeys(keys)))
             parts = [line + got[w] if t == 2 else got[w] for t, w in zip(kind[k].tolist(), keys)]
-            return np.frombuffer(b"".join(parts), np.uint32), np.array([len(p) // 4 for p in parts], np.int64)
+            return np.frombuffer(b"".join(parts), np.uint32), np.array(list(map(len, parts)), np.int64) // 4
 
         part, size = encoder.table.lookup(h[own], words.take(own), encode)
         flats.append(part)
@@ -413,8 +466,9 @@ def encoded(path: str, column):
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One encoder for each file in each worker."""
-    return Encoder(path)
+    """One encoder for each file in each worker. Where an executor keeps the public files in
+    another folder than the driver, the file of that name is taken there."""
+    return Encoder(path if os.path.exists(path) else vocabulary(os.path.basename(path)))
 
 
 def vocabulary(name: str) -> str:
