@@ -50,5 +50,13 @@ def test_against_brute_force(spark):
     assert found == brute(rows)
 
 
+def test_one_word_again_and_again(spark):
+    """Documents of one window repeated thousands of times, across tasks."""
+    rows = [(5, "x " * 4000), (3, "y z " * 900), (9, "a b " + "x " * 3000 + "c"), (2, "x " * 49), (11, "y z " * 700 + "end"), (1, "q " * 200), (12, "x " * 60 + "other " + "x " * 51)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, " ".join(r.kept.split())) for r in substring.remove_repeats(df).collect()), key=str)
+    assert got == brute([(d, " ".join(t.split())) for d, t in rows])
+
+
 def test_empty(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

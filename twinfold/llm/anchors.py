@@ -56,8 +56,10 @@ def with_copies(base: DataFrame, twins: DataFrame) -> DataFrame:
 
 def combine(h: np.ndarray, did: np.ndarray, pos: np.ndarray, by_doc: bool):
     """Rows to shuffle. A hash that stands here in two documents (by_doc) or two
-    places marks its rows; the first of them goes on unmarked for the others' sake."""
-    o = np.argsort(h)
+    places marks its rows; the first of them goes on unmarked for the others' sake. A document
+    that has one hash many times (a repeated word) marks all but the first at once: what is
+    marked needlessly is compared needlessly, and nothing else."""
+    o = np.lexsort((did, h)) if by_doc else np.argsort(h)
     h, did, pos = h[o], did[o], pos[o]
     first = np.ones(len(h), bool)
     first[1:] = h[1:] != h[:-1]
@@ -68,9 +70,10 @@ def combine(h: np.ndarray, did: np.ndarray, pos: np.ndarray, by_doc: bool):
     else:
         shared = np.diff(np.append(heads, len(h))) > 1
     m = shared[group]
+    if by_doc:
+        m[1:] |= (h[1:] == h[:-1]) & (did[1:] == did[:-1])
     spread = mix(did[m].view(np.uint64) + pos[m].astype(np.uint64) // np.uint64(64)).view(np.int64)
-    rest = ~m
-    rest |= m & first
+    rest = ~m | first
     return (
         np.concatenate([spread, h[rest].view(np.int64)]),
         np.concatenate([np.ones(len(spread), bool), np.zeros(int(rest.sum()), bool)]),

@@ -87,25 +87,35 @@ def _anchor_batches(key: int):
     return run
 
 
-_WINDOW_SHAPE = "k1 long, k2 long, m boolean, did long, pos int"
-_WINDOWS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("m", pa.bool_()), ("did", pa.int64()), ("pos", pa.int32())])
+_WINDOW_SHAPE = "k1 long, k2 long, m boolean, did long, pos int, more binary"
+_WINDOWS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("m", pa.bool_()), ("did", pa.int64()), ("pos", pa.int32()), ("more", pa.binary())])
 
 
 def _combine_windows(held):
     """Windows of a larger did than the smallest here are removed at once; they
-    carry their hash as k2. The others go on to be compared."""
+    carry their hash as k2. The others go on to be compared, those that one document has
+    several times as one row: `more` holds the hash and the other places."""
     h1, h2, did, pos = (np.concatenate(x) for x in zip(*held))
-    o = np.lexsort((did, h2, h1))
+    o = np.lexsort((pos, did, h2, h1))
     h1, h2, did, pos = h1[o], h2[o], did[o], pos[o]
     first = np.ones(len(h1), bool)
     first[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
     low = did[np.flatnonzero(first)][np.cumsum(first) - 1]
     m = np.minimum(did, FIRST_NULL) > low
+    again = np.zeros(len(m), bool)
+    again[1:] = ~m[1:] & ~first[1:] & (did[1:] == did[:-1])
+    more: dict[int, bytes] = {}
+    if again.any():
+        edge = np.diff(np.concatenate([[0], again.view(np.int8), [0]]))
+        for a, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+            more[a - 1] = h1[a : a + 1].tobytes() + pos[a:e].astype(np.int32).tobytes()
     k1 = np.where(m, mix(did.view(np.uint64)), h1).view(np.int64)
     k2 = np.where(m, h1, h2).view(np.int64)
-    for i in range(0, len(m), 200_000):
-        s = slice(i, i + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(k1[s]), pa.array(k2[s]), pa.array(m[s]), pa.array(did[s]), pa.array(pos[s].astype(np.int32))], schema=_WINDOWS)
+    rows = np.flatnonzero(~again)
+    for i in range(0, len(rows), 200_000):
+        s = rows[i : i + 200_000]
+        others = pa.array([more.get(x) for x in s.tolist()] if more else [None] * len(s), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(k1[s]), pa.array(k2[s]), pa.array(m[s]), pa.array(did[s]), pa.array(pos[s].astype(np.int32)), others], schema=_WINDOWS)
 
 
 def _window_batches(key: int):
@@ -152,6 +162,7 @@ def _result_batches(make, key: int):
             copy = pick(b.column("copy")).to_numpy(zero_copy_only=False)
             pos, bound = list_slices(b.column("pos"))
             seen, _ = list_slices(b.column("h"))
+            others = b.column("more").to_pylist()
             n_words, n_removed, out = [], [], []
             for first, last in slices(at):
                 part = raw[at[first] : at[last]]
@@ -166,6 +177,9 @@ def _result_batches(make, key: int):
                         gone[:] = n >= WINDOW
                     elif len(p):
                         own = seen[bound[first + i] : bound[first + i + 1]].view(np.uint64)
+                        for x in others[first + i] or ():
+                            p = np.append(p, np.frombuffer(x, np.int32, offset=8))
+                            own = np.append(own, np.repeat(np.frombuffer(x, np.uint64, 1), len(p) - len(own)))
                         p, own = p[p + WINDOW <= n], own[p + WINDOW <= n]
                         p = p[h[a + p] == own]
                         gone = covered(n, p, p + WINDOW)
@@ -191,8 +205,8 @@ def _dedup(docs: DataFrame, make, out: str, rest: tuple[str, ...] = ()) -> DataF
     windows = joined.mapInArrow(tidy(_window_batches(key)), _WINDOW_SHAPE)
     low = F.min("did").over(Window.partitionBy("m", "k1", "k2"))
     gone = windows.withColumn("low", low).where(F.col("m") | (F.least("did", F.lit(FIRST_NULL)) > F.col("low")))
-    gone = gone.groupBy("did").agg(F.collect_list("pos").alias("pos"), F.collect_list(F.expr("if(m, k2, k1)")).alias("h"))
-    last = texts.join(gone.hint("shuffle_hash"), "did", "left").select(*own, "copy", "pos", "h")
+    gone = gone.groupBy("did").agg(F.collect_list("pos").alias("pos"), F.collect_list(F.expr("if(m, k2, k1)")).alias("h"), F.collect_list("more").alias("more"))
+    last = texts.join(gone.hint("shuffle_hash"), "did", "left").select(*own, "copy", "pos", "h", "more")
     shape = f"rest {base.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, out string"
     done = last.mapInArrow(tidy(_result_batches(make, key)), shape)
     return done.select("rest.*", "n_words", "n_removed", F.col("out").alias(out))
