@@ -10,6 +10,7 @@ from .functions import globs, media, paths, rules, scalars
 from .lineage import cut
 from .operators import groups, hashing, overlap, trees
 from .plans import queue, report
+from .sources import sidecars
 from .streaming import dedup
 
 
@@ -163,6 +164,25 @@ def skip_set(spark, d):
     return groups.without(files, last).select("path")
 
 
+@_query("stamped_roots", f"with {_FILES} select path, '/even' as root, 0 as source from files where size % 2 = 0 union all select path, '/odd', 1 from files where size % 2 = 1")
+def stamped_roots(spark, d):
+    """The files of two roots as one table, each with its root and the root's place."""
+    files = _docs(spark, d).select("path", "size")
+    return catalog.with_roots({"/even": files.where("size % 2 = 0"), "/odd": files.where("size % 2 = 1")}).select("path", "root", "source")
+
+
+@_query("sidecar_names", f"""with {_FILES} select path, path || '{sidecars.SUFFIX}' as sidecar, true as is_one, false as file_is_one from files""")
+def sidecar_names(spark, d):
+    side = sidecars.sidecar_path(F.col("path"))
+    return _docs(spark, d).select("path", side.alias("sidecar"), sidecars.is_sidecar_column(side).alias("is_one"), sidecars.is_sidecar_column(F.col("path")).alias("file_is_one"))
+
+
+@_query("relative_names", f"with {_FILES} select size, md5, substr(min(path), 9) || ' (+' || (count(*) - 1) || ')' as shown from files group by size, md5 having count(*) > 1")
+def relative_names(spark, d):
+    """The first copy of each group below its root, and how many more there are."""
+    return groups.groups(_docs(spark, d)).select("size", "md5", paths.display(F.col("first_path"), F.lit("/corpus"), F.col("n")).alias("shown"))
+
+
 # --- paths, rules, scalars ------------------------------------------------------------
 
 
