@@ -176,7 +176,7 @@ def score_texts(column: pa.Array, model: dict | None) -> tuple[np.ndarray, np.nd
     raw, at = text_buffers(column)
     n = len(at) - 1
     score, peak = np.full(n, 0.5), np.ones(n)
-    for a, b in slices(at, 1 << 19) if model else ():
+    for a, b in slices(at) if model else ():
         x, bag = encode(raw, at[a : b + 1])
         f = forward(model, x, bag)
         score[a:b], peak[a:b] = f["p"], np.maximum.reduceat(f["a"], bag[:-1])

@@ -169,20 +169,27 @@ def anchor_runs(raw: np.ndarray, at: np.ndarray):
     """Runs of starts with one anchor: row, first and last start, anchor position (all
     positions from the row's beginning) and the anchor's hash."""
     h = gram_hashes(raw, GRAM)
-    bits = np.uint64(max(20, int(len(raw)).bit_length()))
-    key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    least = _sliding_least(key, SPREAD)
-    size = np.diff(at)
-    each = np.maximum(size - LENGTH + 1, 0)
-    row = np.repeat(np.arange(len(size)), each)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + at[:-1][row]
-    place = (least[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    new = np.ones(len(row), bool)
-    new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(row)) - 1
-    base = at[:-1][row[head]] if len(head) else np.zeros(0, np.int64)
-    return row[head], start[head] - base, start[tail] - base, place[head] - base, h[place[head]]
+    bits = np.uint64(32)  # the same for every slice, else equal strings might choose differently
+    least = _sliding_least((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), SPREAD)
+    n = len(least)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, h[:0]
+    place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    # no string begins in the last LENGTH - 1 bytes of a row, so runs of two rows never touch
+    step = np.zeros(n + 1, np.int8)
+    full = np.flatnonzero(np.diff(at))
+    np.add.at(step, np.minimum(np.maximum(at[full + 1] - LENGTH + 1, at[full]), n), 1)
+    np.add.at(step, np.minimum(at[full + 1], n), -1)
+    valid = np.cumsum(step[:n], dtype=np.int8) == 0
+    other = place[1:] != place[:-1]
+    first, last = valid.copy(), valid.copy()
+    first[1:] &= other | ~valid[:-1]
+    last[:-1] &= other | ~valid[1:]
+    head, tail = np.flatnonzero(first), np.flatnonzero(last)
+    row = np.searchsorted(at, head, side="right") - 1
+    base = at[row]
+    return row, head - base, tail - base, place[head] - base, h[place[head]]
 
 
 def _anchor_batches(batches):
