@@ -20,6 +20,8 @@ FIRST_NULL = 3 << 61
 
 #: Anchor rows that are combined at a time.
 FLUSH_ROWS = 600_000
+#: Parts that the rows of one text are dealt into.
+SALTS = 32
 ANCHOR_SHAPE = "k long, m boolean, did long, pos int"
 _ANCHOR = pa.schema([("k", pa.int64()), ("m", pa.bool_()), ("did", pa.int64()), ("pos", pa.int32())])
 
@@ -39,10 +41,12 @@ def keyed_texts(docs: DataFrame, rest: tuple[str, ...] = ()) -> DataFrame:
 
 def copies(base: DataFrame) -> DataFrame:
     """For each did with a text that occurs more than once: `multi`, the hashes of
-    those texts, and `copy`, of these the ones of which a smaller did exists."""
+    those texts, and `copy`, of these the ones of which a smaller did exists. What is known
+    of a text is dealt to SALTS tasks, so a text of a third of all rows is no task's alone."""
     hashed = base.select("did", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
     groups = hashed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("low")).where("n > 1")
-    own = hashed.join(groups, ["a", "b"]).groupBy("did")
+    groups = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = hashed.withColumn("s", F.pmod(F.xxhash64("did"), F.lit(SALTS)).cast("int")).join(groups, ["a", "b", "s"]).groupBy("did")
     return own.agg(F.collect_set("a").alias("multi"), F.collect_set(F.when(F.col("did") > F.col("low"), F.col("a"))).alias("copy"))
 
 
